@@ -81,8 +81,8 @@ def window_hits(docs: DataFrame, windows: DataFrame, *, window: int = WINDOW, sh
     return back.where(bounds).join(prefixes.select("window_id", "window"), "window_id").where(equal).select(*hit)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """One row for each document: key, n_words, n_hit, n_items, items, contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, carry: tuple[str, ...] = (), broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+    """One row for each document: key, columns to carry, n_words, n_hit, n_items, items, contaminated.
 
     n_hit counts the words inside any occurrence of an item's window; items are
     those with an occurring window, as sorted strings; contaminated if n_hit > 0
@@ -101,10 +101,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     named = by_doc.select("id", "copy", F.explode("window_ids").alias("window_id")).join(owned.select("window_id", "item"), "window_id").groupBy("id", "copy").agg(F.sort_array(F.collect_set("item")).alias("items"))
     counted = by_doc.select("id", "copy", covered.alias("n_hit"))
     found = counted.join(named, counted.id.eqNullSafe(named.id) & (counted.copy == named.copy)).select(counted.id.alias("id_"), counted.copy.alias("copy_"), "n_hit", "items")
-    all_rows = rows.select("id", "copy", word_count(F.col("text")).alias("n_words"))
+    others = [c for c in carry if c != key]
+    all_rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy"), word_count(F.col(text)).alias("n_words"), *[F.col(c).alias(f"_{c}") for c in others])
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return all_rows.join(found, all_rows.id.eqNullSafe(found.id_) & (F.col("copy") == F.col("copy_")), "left").select(
         F.col("id").alias(key),
+        *[F.col(f"_{c}").alias(c) for c in others],
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

@@ -157,7 +157,19 @@ def _doubtful_windows(window: int, phrase: int):
     return run
 
 
-def _removals(window: int, phrase: int, with_text: bool):
+def without(data: np.ndarray, offsets: np.ndarray, own: Passages, gone: np.ndarray) -> pa.Array:
+    """The texts without the words that are gone, each with the white space after it."""
+    follow = np.append(own.starts[1:], len(data))
+    follow = np.minimum(follow, offsets[1:][own.numbers]) if len(follow) == len(own.numbers) else follow[:0]
+    edge = np.zeros(len(data) + 1, dtype=np.int64)
+    np.add.at(edge, own.starts[gone], 1)
+    np.add.at(edge, follow[gone], -1)
+    kept = np.cumsum(edge[:-1]) == 0
+    left = np.concatenate(([0], np.cumsum(kept)))[offsets]
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(data[kept].tobytes())).cast(pa.string())
+
+
+def _removals(window: int, phrase: int, carried: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
             count = rows.num_rows
@@ -181,24 +193,25 @@ def _removals(window: int, phrase: int, with_text: bool):
             text, places = joined(data, own.starts[~gone], own.ends[~gone])
             edges = by_text(own.numbers[~gone], count)
             places = np.append(places, len(text))
-            raw = text.tobytes()
-            kept = [raw[places[a] : max(places[a], places[b] - 1)] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            columns = [rows.column(0), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-            names = ["id", "n_words", "n_removed", "kept_sha256"]
+            raw = memoryview(text)
+            kept = [hashlib.sha256(raw[places[a] : max(places[a], places[b] - 1)]).hexdigest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            columns = [field("id"), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(kept)] + [field(f"_{c}") for c in carried]
+            names = ["id", "n_words", "n_removed", "kept_sha256", *[f"_{c}" for c in carried]]
             if with_text:
-                columns.append(pa.array([x.decode() for x in kept], pa.string()))
-                names.append("kept_text")
+                columns.append(without(data, offsets, own, gone))
+                names.append("_clean_text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = True) -> DataFrame:
-    """One row for each document: key, n_words, n_removed, kept_sha256 and kept_text (if with_text).
+def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, carry: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+    """One row for each document: key, n_words, n_removed, kept_sha256, columns to carry, and clean_text (if with_text).
 
     A word is removed if it lies in a window whose words also start in a
-    document with a smaller key; the first document keeps it.  Kept words are
-    joined by one space.  A null or empty text has no words.  Rows with a null
+    document with a smaller key; the first document keeps it.  clean_text is the
+    text without these words and the white space after each; kept_sha256 is that
+    of the kept words joined by one space.  A null or empty text has no words.  Rows with a null
     key lose nothing and take nothing from others; rows that repeat a key count
     as one document, and each gets its row.  An empty table gives none.  Other
     columns are not read.
@@ -224,6 +237,10 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     single = windows.join(first, "window").where("id > least").groupBy("id").agg(F.collect_set("window").alias("windows"))
 
     final = lists.select("id", "repeated").join(single, "id", "full")
-    dealt = rows.join(final, "id", "left").select("id", "text", "repeated", "windows")
-    schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    return batches_of(dealt, _removals(window, phrase, with_text), schema).withColumnRenamed("id", key)
+    others = [c for c in carry if c not in (key, text)]
+    whole = docs.select(docs[key].alias("id"), docs[text].alias("text"), *[docs[c].alias(f"_{c}") for c in others])
+    dealt = whole.join(final, "id", "left")
+    kinds = dict(docs.dtypes)
+    schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + "".join(f", `_{c}` {kinds[c]}" for c in others) + ", _clean_text string" * with_text
+    found = batches_of(dealt, _removals(window, phrase, others, with_text), schema)
+    return found.select(F.col("id").alias(key), "n_words", "n_removed", "kept_sha256", *[F.col(f"_{c}").alias(c) for c in others], *[F.col("_clean_text").alias("clean_text")] * with_text)
