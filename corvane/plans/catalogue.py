@@ -1,4 +1,4 @@
 """Every registered query of the library's own operators, with its SQL oracle."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corvane.plans import confusion, recall  # noqa: F401
+from corvane.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
