@@ -84,7 +84,7 @@ def parse_output(text: str, detect_hazard: bool = False) -> tuple[str, str, bool
     spans = [(a, b) for a, b, _, _ in fields]
     rest = _blank(body, spans)
     labels = list(_LABEL.finditer(rest))
-    for label, after in zip(labels, [*[m.start() for m in labels[1:]], len(body)], strict=True):
+    for label, after in zip(labels, [*[m.start() for m in labels[1:]], len(body)], strict=False):
         stop = min([x for x in bounds if x >= label.end()] + [after])
         fields.append((label.start(), stop, label[1].upper(), rest[label.end() : stop]))
         spans.append((label.start(), stop))

@@ -6,6 +6,8 @@ itself in a grouped task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -135,27 +137,48 @@ def solve(cost: np.ndarray) -> list[int]:
     return out
 
 
-def _assign(keys: list[str]):
-    def run(edges: pd.DataFrame) -> pd.DataFrame:
-        g, p = sorted(edges["gt_index"].unique()), sorted(edges["pred_index"].unique())
-        g_at, p_at = {x: i for i, x in enumerate(g)}, {x: i for i, x in enumerate(p)}
-        # Costs are sixths; lower predictions are preferred among equal sums, above all no pair is lost.
-        tie = len(p) ** 2 * (len(g) + 1) + 1
-        barred = 13 * tie * (min(len(g), len(p)) + 1)
-        cost = np.full((len(g), len(p)), barred, dtype=object)
-        for a, b, c in edges[["gt_index", "pred_index", "cost"]].itertuples(index=False):
-            cost[g_at[a], p_at[b]] = round(c * 6) * tie + (len(g) - g_at[a]) * p_at[b]
-        chosen = [(g[i], p[j]) for i, j in enumerate(solve(cost)) if j >= 0 and cost[i, j] < barred]
-        out = pd.DataFrame(chosen, columns=["gt_index", "pred_index"])
-        for key in reversed(keys):
-            out.insert(0, key, edges[key].iloc[0])
-        return out
+def _best_pairs(edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """The pairs of one sample's edges (gt_index, pred_index, cost)."""
+    g, p = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
+    g_at, p_at = {x: i for i, x in enumerate(g)}, {x: i for i, x in enumerate(p)}
+    # Costs are sixths; lower predictions are preferred among equal sums, above all no pair is lost.
+    tie = len(p) ** 2 * (len(g) + 1) + 1
+    barred = 13 * tie * (min(len(g), len(p)) + 1)
+    cost = np.full((len(g), len(p)), barred, dtype=object)
+    for a, b, c in edges:
+        cost[g_at[a], p_at[b]] = round(c * 6) * tie + (len(g) - g_at[a]) * p_at[b]
+    return [(g[i], p[j]) for i, j in enumerate(solve(cost)) if j >= 0 and cost[i, j] < barred]
+
+
+def _assign_sorted(keys: list[str]):
+    """Solves samples whose rows follow each other, over the borders of batches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for frame in frames:
+            out: list[tuple] = []
+            for *key, a, b, c in frame[[*keys, "gt_index", "pred_index", "cost"]].itertuples(index=False, name=None):
+                if key != now:
+                    out += [(*now, *pair) for pair in _best_pairs(held)] if held else []
+                    now, held = key, []
+                held.append((a, b, c))
+            yield pd.DataFrame(out, columns=[*keys, "gt_index", "pred_index"])
+        if held:
+            yield pd.DataFrame([(*now, *pair) for pair in _best_pairs(held)], columns=[*keys, "gt_index", "pred_index"])
 
     return run
 
 
 def assigned(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gt_index, pred_index): in each sample as many pairs as can be, at the least total cost."""
+    """(keys, gt_index, pred_index): in each sample as many pairs as can be, at the least total cost.
+
+    An edge that both its objects have alone is a pair without more ado; the
+    rest of the samples are solved in Python tasks, many in each.
+    """
     kinds = dict(edges.dtypes)
+    alone = lambda side: F.count("*").over(Window.partitionBy(*keys, side)) == 1
+    marked = edges.withColumn("_alone", alone("gt_index") & alone("pred_index"))
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", gt_index {kinds['gt_index']}, pred_index {kinds['pred_index']}"
-    return edges.groupBy(*keys).applyInPandas(_assign(keys), schema)
+    rest = marked.where(~F.col("_alone")).select(*keys, "gt_index", "pred_index", "cost")
+    solved = rest.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_assign_sorted(keys), schema)
+    return marked.where("_alone").select(*keys, "gt_index", "pred_index").unionByName(solved)

@@ -86,7 +86,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("record_id"),
         F.col("user_id").alias("series"),
         "ts",
-        F.unix_micros("ts").alias("micros"),
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("micros"),
         F.concat(F.lit("m"), (F.col("user_id") % 2).cast("string")).alias("model"),
         (F.col("user_id") % 4).alias("replica"),
         F.when(F.col("event_type") == "error", "hazard").otherwise("safe").alias("branch"),
