@@ -147,7 +147,8 @@ def _doubtful_windows(window: int, phrase: int):
     """Hashes of the windows of passages that must be compared window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches):
+        some = (b.filter(pa.compute.fill_null(pa.compute.greater(pa.compute.list_value_length(b.column(b.schema.get_field_index("doubtful"))), 0), False)) for b in batches)
+        for rows, data, offsets in slices(some):
             own = Passages(data, offsets, window, phrase)
             known, known_rows = _flat(rows.column(rows.schema.get_field_index("doubtful")))
             runs = _in_own(own.passages(), own.owners(), known, known_rows)
@@ -219,7 +220,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     kind = dict(docs.dtypes)[key]
     rows = docs.select(docs[key].alias("id"), docs[text].alias("text"))
     found = batches_of(rows, _phrase_rows(window, phrase), f"id {kind}, phrase bigint, passage bigint")
-    named = checkpointed(found.where("id is not null").distinct())
+    named = checkpointed(found.where("id is not null"))
     shared = named.groupBy("phrase").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("phrase")
     named = checkpointed(named.join(shared, "phrase", "left_semi"))
 
@@ -230,16 +231,14 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     lists = marks.groupBy("id").agg(F.collect_set(F.when(F.col("id") > F.col("least"), F.col("passage"))).alias("repeated"), F.collect_set(F.when(F.col("id") == F.col("least"), F.col("passage"))).alias("doubtful"))
     lists = checkpointed(lists.select("id", "repeated", "doubtful"))
 
-    doubtful = lists.where(F.size("doubtful") > 0).select("id", "doubtful")
-    windows = batches_of(rows.join(doubtful, "id").select("id", "text", "doubtful"), _doubtful_windows(window, phrase), f"id {kind}, window bigint")
-    windows = checkpointed(windows.distinct())
-    first = windows.groupBy("window").agg(F.min("id").alias("least"))
-    single = windows.join(first, "window").where("id > least").groupBy("id").agg(F.collect_set("window").alias("windows"))
-
-    final = lists.select("id", "repeated").join(single, "id", "full")
+    # Both joins below deal out the same columns by the same key, without a filter
+    # in between, so that Spark shuffles the texts once and reads them again.
     others = [c for c in carry if c not in (key, text)]
     whole = docs.select(docs[key].alias("id"), docs[text].alias("text"), *[docs[c].alias(f"_{c}") for c in others])
-    dealt = whole.join(final, "id", "left")
+    windows = batches_of(whole.join(lists, "id", "left"), _doubtful_windows(window, phrase), f"id {kind}, window bigint")
+    first = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
+    single = windows.join(first, "window").where("id > least").groupBy("id").agg(F.collect_set("window").alias("windows"))
+    dealt = whole.join(lists.select("id", "repeated").join(single, "id", "full"), "id", "left")
     kinds = dict(docs.dtypes)
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + "".join(f", `_{c}` {kinds[c]}" for c in others) + ", _clean_text string" * with_text
     found = batches_of(dealt, _removals(window, phrase, others, with_text), schema)
