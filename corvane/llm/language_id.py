@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from corvane.llm.textkit import batches_of
 GRAM = 3
 BITS = 15
 #: The classifier is fitted on about so many labelled documents of each language, at most; everything counted of the corpus covers all its documents.
-FIT_DOCUMENTS = 1500
+FIT_DOCUMENTS = 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
@@ -154,9 +155,12 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_docu
     examples = batches_of(chosen.select("lang", "text", "h"), _example_rows, "lang string, which array<bigint>, counts array<bigint>, h bigint").orderBy("h", "lang").limit(most).toArrow()
     number = {name: i for i, name in enumerate(languages)}
     ready: tuple[list, list] = ([], [])
-    for name, which, counts, at in zip(*(examples[c].to_pylist() for c in ("lang", "which", "counts", "h")), strict=True):
-        which = np.array(which, dtype=np.int64)
-        ready[at % 5 == 0].append((number[name], which, model.vector(which, np.array(counts))))
+    examples = examples.combine_chunks()
+    flat = [examples[c].combine_chunks().flatten().to_numpy() for c in ("which", "counts")]
+    ends = np.cumsum(np.append(0, pa.compute.list_value_length(examples["which"]).to_numpy()))
+    for i, (name, at) in enumerate(zip(examples["lang"].to_pylist(), examples["h"].to_pylist(), strict=True)):
+        which, counts = (x[ends[i] : ends[i + 1]] for x in flat)
+        ready[at % 5 == 0].append((number[name], which, model.vector(which, counts)))
     follow_the_leader(model, ready[0] or ready[1])
     calibrate(model, ready[1])
     return model
