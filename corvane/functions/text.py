@@ -167,3 +167,28 @@ def redacted(text: Column) -> Column:
     text = F.regexp_replace(text, r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=]+", "[DATA]")
     text = F.regexp_replace(text, r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/-]+=*", "$1 [REDACTED]")
     return F.regexp_replace(text, r"""(?i)\b(api[_-]?key|secret|password|token)("?\s*[=:]\s*"?)[^\s",}]+""", "$1$2[REDACTED]")
+
+
+def answer_of(text: Column, field: str = "alter", missing: str = "[ALTER_EXTRACTION_FAILED]") -> Column:
+    """A text field of the JSON object from the first { to the last } of an answer, or a mark that there is none."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(json_block(text)), f"$.{field}", "string"), F.lit(missing))
+
+
+def scoring_text(text: Column, safe_sentences: str = "The path is clear. Go ahead.") -> Column:
+    """What a text is scored by: alert and guide in one line, two sentences for SAFE, else the text itself."""
+    alert, guide = collapsed(tag(text, "ALERT")), collapsed(tag(text, "GUIDE"))
+    return F.when(is_safe(text, "regex"), safe_sentences).when((alert != "") | (guide != ""), F.trim(F.concat_ws(" ", alert, guide))).otherwise(collapsed(text))
+
+
+def response_text(body: Column, paths: tuple[str, ...] = ("$.choices[0].message.content", "$.output_text", "$.response", "$.text")) -> Column:
+    """The first of some places in a JSON answer that holds text."""
+    parsed = F.try_parse_json(body)
+    at = lambda p: F.when(F.schema_of_variant(F.try_variant_get(parsed, p, "variant")) == "STRING", F.try_variant_get(parsed, p, "string"))
+    return F.coalesce(*[at(p) for p in paths])
+
+
+def category_objects(text: Column) -> Column:
+    """Named objects of a JSON answer with their clean categories; those without any go, and null where it isn't such JSON."""
+    parsed = F.from_json(json_block(text), "struct<objects:array<struct<name:string,categories:array<string>>>>")
+    clean = F.transform(parsed["objects"], lambda o: F.struct(F.trim(o["name"]).alias("name"), clean_categories(o["categories"]).alias("categories")))
+    return F.filter(clean, lambda o: (o["name"] != "") & (F.size(o["categories"]) > 0))

@@ -192,3 +192,35 @@ def markdown(frame: DataFrame, most: int = 50) -> str:
     out = ["| " + " | ".join(frame.columns) + " |", "|" + "---|" * len(frame.columns)]
     out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
     return "\n".join(out + [f"… and {total - most} more"] * (total > most))
+
+
+def class_names(texts: DataFrame) -> DataFrame:
+    """(class_id, name) of a class list, one name a line; blank lines don't count, a name twice raises."""
+    names = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    checked = F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(F.raise_error(F.lit("a class is named twice")).cast("array<string>"))
+    return texts.select(F.posexplode(checked).alias("class_id", "name"))
+
+
+def paired_by_priority(items: DataFrame, candidates: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """For each item the candidate whose key equals the first of its keys that any candidate has."""
+    wanted = items.select(key, F.posexplode(F.array(*keys)).alias("priority", "candidate"))
+    found = wanted.join(candidates.select("candidate").distinct(), "candidate")
+    return found.groupBy(key).agg(F.min_by("candidate", "priority").alias("candidate"), F.min("priority").alias("priority"))
+
+
+def manual_categories(texts: DataFrame) -> DataFrame:
+    """(sample, index, category, valid) of JSON that maps samples to maps of index to category; an index must be plain decimal."""
+    outer = texts.select(F.explode(F.from_json("text", "map<string,map<string,string>>")).alias("sample", "own"))
+    return outer.select("sample", F.explode("own").alias("index", "category")).withColumn("valid", F.col("index").rlike(r"^(0|[1-9][0-9]*)$"))
+
+
+def with_defaults(annotations: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Columns that old annotations lack, or have as null, get their defaults."""
+    for name, value in defaults.items():
+        annotations = annotations.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in annotations.columns else F.lit(value))
+    return annotations
+
+
+def matrix_table(cells: DataFrame, row: str, column: str, value: str, order: tuple[str, ...]) -> DataFrame:
+    """Cells as a table with a row for each row label and a column for each of `order`; absent ones are 0."""
+    return cells.groupBy(row).pivot(column, list(order)).agg(F.sum(value)).na.fill(0)
