@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.textkit import checkpointed
+
 WINDOW = 13
 SHINGLE = 5
 #: Item shingles up to this number are broadcast; beyond it they are shuffled.
@@ -95,7 +97,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     words = rows.select("id", "copy", words_of(F.col("text")).alias("words"))
     owned = item_windows(benchmark, item=item, text=item_text, window=window).where("item is not null").withColumn("window_id", F.sha2(F.array_join("window", " "), 256))
     hits = window_hits(words, owned.select("window_id", "window").distinct(), window=window, shingle=shingle, broadcast_shingles=broadcast_shingles)
-    by_doc = hits.groupBy("id", "copy").agg(F.sort_array(F.collect_set(F.struct("from", "length"))).alias("spans"), F.collect_set("window_id").alias("window_ids"))
+    # Written once, as two branches below read it; it has rows for documents with hits only.
+    by_doc = checkpointed(hits.groupBy("id", "copy").agg(F.sort_array(F.collect_set(F.struct("from", "length"))).alias("spans"), F.collect_set("window_id").alias("window_ids")))
     step = lambda acc, x: F.struct(F.greatest(acc["end"], x["from"] + x["length"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["from"] + x["length"] - F.greatest(acc["end"], x["from"]))).alias("n"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"].cast("long")
     named = by_doc.select("id", "copy", F.explode("window_ids").alias("window_id")).join(owned.select("window_id", "item"), "window_id").groupBy("id", "copy").agg(F.sort_array(F.collect_set("item")).alias("items"))
