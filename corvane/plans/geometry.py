@@ -106,9 +106,9 @@ def component_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rasters(spark, sf_dir).select("vec_id", single_region_udf()(mask, F.lit(8), box).alias("r")).select("vec_id", "r.*")
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings WHERE len(embedding) = 64)
-SELECT vec_id, round(median(v)::DOUBLE, 6) AS depth, round(avg(i % 8), 6) AS cx, round(avg(i // 8), 6) AS cy, min(i % 8)::INT AS x1, max(i % 8 + 1)::INT AS x2 FROM e WHERE v > 0 GROUP BY vec_id""")
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings WHERE len(embedding) = 64)
+SELECT vec_id, round(median(v::DOUBLE), 6) AS depth, round(avg(i % 8), 6) AS cx, round(avg(i // 8), 6) AS cy, min(i % 8)::INT AS x1, max(i % 8 + 1)::INT AS x2 FROM e WHERE v > 0 GROUP BY vec_id""")
 def mask_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = a.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.posexplode("embedding").alias("i", "v")).where("v > 0")
+    e = a.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v")).where("v > 0")
     x, y = F.col("i") % 8, F.floor(F.col("i") / 8)
     return e.groupBy("vec_id").agg(F.round(F.median("v"), 6).alias("depth"), F.round(F.avg(x), 6).alias("cx"), F.round(F.avg(y), 6).alias("cy"), F.min(x).cast("int").alias("x1"), F.max(x + 1).cast("int").alias("x2"))
