@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.textkit import batches_of
+from corvane.llm.textkit import SLICE_BYTES, batches_of, by_text, slices, word_hashes
 
-#: Distinct pieces that a task keeps between batches; beyond it they are encoded anew.
-CACHE_PIECES = 200_000
+#: Distinct pieces, and words within them, that a task keeps between batches; beyond it they are worked out anew.
+CACHE_PIECES, CACHE_WORDS = 500_000, 500_000
 #: Words in one recursive query.
-QUERY_WORDS = 20_000
+QUERY_WORDS = 60_000
 #: Longer words contract all their pairs of least rank in a step, from the left.
 LONG_WORD = 200
 
@@ -36,7 +36,7 @@ WITH RECURSIVE steps(word, step, ids) AS (
         SELECT word, (least & 4294967295)::INTEGER AS at, (least >> 32)::INTEGER AS rank FROM (
             SELECT p.word, min((m.rank::BIGINT << 32) | p.at) AS least
             FROM (SELECT word, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids))) AS at FROM steps) p
-            JOIN merges m ON m.l = p.l AND m.r = p.r
+            JOIN merges m ON m.pair = ((p.l::BIGINT << 32) | p.r)
             GROUP BY p.word)) b ON s.word = b.word)
 SELECT word, arg_max(ids, step) AS ids FROM steps GROUP BY word ORDER BY word
 """
@@ -63,9 +63,9 @@ class Coder:
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory})
-        rows = [(ranks[token[:i]], ranks[token[i:]], rank) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-        left, right, rank = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
-        self._create("merges", pa.table({"l": left, "r": right, "rank": rank}))
+        rows = [((ranks[token[:i]] << 32) | ranks[token[i:]], rank) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+        pair, rank = zip(*rows, strict=True) if rows else ((), ())
+        self._create("merges", pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32())}))
         self._create("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
         self.merges = None
 
@@ -74,8 +74,8 @@ class Coder:
         self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM given")
         self.con.unregister("given")
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of words that are no tokens."""
+    def code(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """For each word its ids, packed as little-endian unsigned 32-bit numbers, and the bytes that these decode to."""
         out: list = [None] * len(words)
         short = [i for i, word in enumerate(words) if len(word) <= LONG_WORD]
         for at in range(0, len(short), QUERY_WORDS):
@@ -84,18 +84,26 @@ class Coder:
             ends = np.cumsum([0] + [len(words[i]) for i in part])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte_ids[text]))
             self._create("words", pa.table({"word": pa.array(np.arange(len(part), dtype=np.int32)), "ids": ids}))
-            found = self.con.sql(_RECURSION).to_arrow_table()
-            for i, coded in zip(part, found["ids"].to_pylist(), strict=True):
-                out[i] = coded
-        for i, word in enumerate(words):
-            if len(word) > LONG_WORD:
-                out[i] = self._long(word)
+            for i, pair in zip(part, self._packed(self.con.sql(_RECURSION).to_arrow_table()), strict=True):
+                out[i] = pair
+        long = [i for i, word in enumerate(words) if len(word) > LONG_WORD]
+        if long:
+            ids = pa.array([self._long(words[i]) for i in long], pa.list_(pa.int32()))
+            for i, pair in zip(long, self._packed(pa.table({"word": pa.array(range(len(long)), pa.int32()), "ids": ids})), strict=True):
+                out[i] = pair
         return out
 
+    def _packed(self, coded: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        self._create("coded", coded)
+        back = self.con.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()
+        ids = coded["ids"].combine_chunks()
+        raw, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), np.cumsum(np.append(0, pa.compute.list_value_length(ids).to_numpy())).tolist()
+        return ((raw[4 * a : 4 * b], text) for a, b, text in zip(ends[:-1], ends[1:], back, strict=True))
+
     def _long(self, word: bytes) -> list[int]:
         """A long word: each step contracts, from the left, all its pairs of least rank."""
         if self.merges is None:
-            table = self.con.execute("SELECT (l::BIGINT << 32) | r AS pair, rank FROM merges ORDER BY pair").fetchnumpy()
+            table = self.con.execute("SELECT pair, rank FROM merges ORDER BY pair").fetchnumpy()
             self.merges = table["pair"].astype(np.int64), table["rank"].astype(np.int64)
         pairs, ranks = self.merges
         ids = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].astype(np.int64)
@@ -113,87 +121,98 @@ class Coder:
             ids = np.delete(ids, hits + 1)
         return ids.tolist()
 
-    def decode(self, coded: list[list[int]]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(coded), QUERY_WORDS):
-            part = coded[at : at + QUERY_WORDS]
-            self._create("coded", pa.table({"word": pa.array(range(len(part)), pa.int32()), "ids": pa.array(part, pa.list_(pa.int32()))}))
-            out += self.con.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()
-        return out
-
 
 #: White space next to white space, or at the end, which the quick cut below doesn't serve.
 _RUNS = re.compile(r"\s(?:\s|$)|[\x1c-\x1f]")
-#: Pieces that the pattern never joins where each run of white space is one character.
-_PIECES = re.compile(r"[ \n]?[^ \n]+")
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of pieces that the pattern never joins: cut before each space and line break."""
+    first = (data == 0x20) | (data == 0x0A)
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(first)
+    return starts, np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def gathered(values: list[bytes], which: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Values in the order of their numbers, as one string of bytes, and where each begins, and the end."""
+    lengths = np.array([len(x) for x in values], dtype=np.int64)
+    own = lengths[which]
+    ends = np.append(0, np.cumsum(own))
+    where = np.repeat((np.cumsum(lengths) - lengths)[which] - ends[:-1], own) + np.arange(int(ends[-1]))
+    return np.frombuffer(b"".join(values), dtype=np.uint8)[where].tobytes(), ends
 
 
 class Pieces:
     """Ids and bytes of pieces of text, kept for the texts of one task."""
 
-    def __init__(self, coder: Coder, pattern: str, most: int = CACHE_PIECES):
+    def __init__(self, coder: Coder, pattern: str):
         import regex
 
-        self.coder, self.most, self.pattern = coder, most, regex.compile(pattern)
-        self.ids: dict[str, bytes] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.coder, self.pattern = coder, regex.compile(pattern)
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def cut(self, text: str) -> list[str]:
-        return self.pattern.findall(text) if _RUNS.search(text) else _PIECES.findall(text)
+    def _cut(self, text: bytes) -> list[bytes]:
+        return [w.encode() for w in self.pattern.findall(text.decode())]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes and decodes pieces that aren't known yet."""
-        if len(self.ids) + len(pieces) > self.most:
-            self.ids, self.bytes = {}, {}
-        new = [p for p in pieces if p not in self.ids]
-        words = [[w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(p)] for p in new]
+    def _words(self, words: set[bytes]) -> None:
+        words = words - self.words.keys()
         ranks = self.coder.ranks
-        unknown = list({w for own in words for w in own if w not in ranks})
-        known = dict(zip(unknown, self.coder.encode(unknown), strict=True))
-        distinct = list({w for own in words for w in own})
-        coded = [known[w] if w in known else [ranks[w]] for w in distinct]
-        packed = dict(zip(distinct, (np.array(c, dtype="<u4").tobytes() for c in coded), strict=True))
-        decoded = dict(zip(distinct, self.coder.decode(coded), strict=True))
-        for piece, own in zip(new, words, strict=True):
-            self.ids[piece] = b"".join([packed[w] for w in own])
-            self.bytes[piece] = b"".join([decoded[w] for w in own])
+        for word in words & ranks.keys():  # a token decodes to itself
+            self.words[word] = (ranks[word].to_bytes(4, "little"), word)
+        rest = list(words - ranks.keys())
+        self.words.update(zip(rest, self.coder.code(rest), strict=True))
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes and decodes distinct pieces that aren't known yet."""
+        if len(self.known) + len(pieces) > CACHE_PIECES:
+            self.known = {}
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        new = [p for p in pieces if p not in self.known]
+        cut = [self._cut(p) for p in new]
+        self._words(set().union(*cut))
+        for piece, own in zip(new, cut, strict=True):
+            found = [self.words[w] for w in own]
+            self.known[piece] = found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
+
+    def code(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """The packed ids and the decoded bytes of each text of a buffer; each distinct piece is looked up once."""
+        count, raw = len(offsets) - 1, data.tobytes()
+        starts, ends, numbers = pieces_of(data, offsets)
+        _, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self.learn(pieces)
+        coded = [self.known[p] for p in pieces]
+        edges = by_text(numbers, count)
+        out = []
+        for side in (0, 1):
+            flat, at = gathered([x[side] for x in coded], which)
+            cuts = at[edges].tolist()
+            out.append([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if _RUNS.search(raw[a:b].decode()):
+                own = self._cut(raw[a:b])
+                self._words(set(own))
+                out[0][i], out[1][i] = (b"".join([self.words[w][side] for w in own]) for side in (0, 1))
+        return out[0], out[1]
 
 
 def _rows(ranks: dict[bytes, int], pattern: str, with_ids: bool, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(Coder(ranks), pattern)
-        pending: list[tuple[pa.RecordBatch, list[str]]] = []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            cut = [[pieces.cut(text) for text in texts] for _, texts in pending]
-            new = set().union(*(own for texts in cut for own in texts))
-            if not new <= pieces.ids.keys():
-                pieces.learn(new)
-            for (batch, _), texts in zip(pending, cut, strict=True):
-                ids = [b"".join([pieces.ids[p] for p in own]) for own in texts]
-                back = [b"".join([pieces.bytes[p] for p in own]) for own in texts]
-                columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
-                    names.append("ids")
-                if with_decoded:
-                    columns.append(pa.array(back, pa.binary()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-            pending.clear()
-
-        size = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                pending.append((part, texts))
-                size += sum(map(len, texts))
-                if size > 4_000_000:
-                    yield from finish()
-                    size = 0
-        yield from finish()
+        for rows, data, offsets in slices(batches, most=SLICE_BYTES):
+            ids, back = pieces.code(data, offsets)
+            columns = [rows.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                names.append("ids")
+            if with_decoded:
+                columns.append(pa.array(back, pa.binary()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
