@@ -20,7 +20,7 @@ from corvane.llm.textkit import crc_remainder
 from corvane.llm.token_output import shared_path
 
 #: Documents whose language has less than this calibrated probability go.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
