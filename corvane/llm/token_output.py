@@ -22,40 +22,107 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import elias_fano
-from corvane.llm.textkit import batches_of, checkpointed, partitions
+from corvane.llm.textkit import batches_of, by_text, checkpointed, lower_ascii, partitions, slices, word_hashes, word_spans
 
 #: Ids in a segment, beyond which the next one is begun.
 SEGMENT_IDS = 2_000_000
 #: Distinct words that a task keeps the ids of; beyond it they are encoded anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 _MAGIC = b"CVT1"
 #: Magic, bytes of an id, documents with a null key, whether others follow, the least key.
 _HEAD = "<4sBQBq"
 
 
+def _plain(text: str) -> bool:
+    """Whether a text is small letters of the Latin blocks, which no normal form changes."""
+    return text.isalpha() and text == text.lower() and max(text) < "\u0250"
+
+
+def _plain_bytes(word: bytes) -> bool:
+    return word.isalpha() and word.islower() if word.isascii() else _plain(word.decode("utf-8", "replace"))
+
+
 class WordCoder:
-    """Ids of texts, word by word: for tokenizers that drop white space and never join words over it."""
+    """Ids of texts, word by word: for tokenizers that drop case and white space and never join letters with what is none.
+
+    The ids of words are kept for the texts of one task.  A word that is new is
+    cut into letters and the punctuation after them; plain letters are encoded
+    many at a time, as each such word ends with a token that marks an end.
+    """
 
     def __init__(self, tokenizer_json: str, kind: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.most = Tokenizer.from_str(tokenizer_json), kind, most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[at for token, at in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [text.split() for text in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set().union(*cut))
-        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for word, coded in zip(part, many([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(coded.ids, dtype=self.kind).tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in own]) for own in cut]
+        self.parts: dict[bytes, bytes] = {}
+
+    def _many(self, texts: list[str]) -> list:
+        return getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)(texts, add_special_tokens=False)
+
+    def _singly(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            for word, coded in zip(part, self._many([w.decode("utf-8", "replace") for w in part]), strict=True):
+                self.parts[word] = np.array(coded.ids, dtype=self.kind).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        """Words of plain small letters, each of which is one run for the tokenizer."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self._many([b" ".join(part).decode()])[0].ids, dtype=self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self._singly(part)
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            starts = np.concatenate(([0], ends[:-1])) * size
+            self.parts.update(zip(part, [raw[a:b] for a, b in zip(starts.tolist(), (ends * size).tolist(), strict=True)], strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut: list[tuple[bytes, bytes]] = []
+        for word in words:
+            letters = word.rstrip(b".,;:!?|")
+            last = letters[-1:]
+            apart = b"a" <= last <= b"z" or (last >= b"\x80" and _plain(letters.decode("utf-8", "replace")[-1]))
+            cut.append((letters, word[len(letters) :]) if apart else (word, b""))
+        new = {p for own in cut for p in own if p} - self.parts.keys()
+        plain = [p for p in new if _plain_bytes(p)]
+        self._together(plain)
+        self._singly(list(new.difference(plain)))
+        self.parts[b""] = b""
+        parts = self.parts
+        self.known.update(zip(words, [parts[a] + parts[b] for a, b in cut], strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text of a buffer; each distinct word is looked up once."""
+        count, raw = len(offsets) - 1, data.tobytes()
+        special = [i for i in range(count) if raw.find(b"<|", offsets[i], offsets[i + 1]) >= 0] if b"<|" in raw else []  # may name special tokens
+        data = lower_ascii(data)
+        starts, ends, numbers = word_spans(data, offsets)
+        lower = data.tobytes()
+        _, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        words = [lower[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.known) + len(words) > self.most or len(self.parts) > self.most:
+            self.known, self.parts = {}, {}
+        self._learn([w for w in words if w not in self.known])
+        coded = [self.known[w] for w in words]
+        size = np.dtype(self.kind).itemsize
+        lengths = np.array([len(x) for x in coded], dtype=np.int64) // size
+        ids = np.frombuffer(b"".join(coded), dtype=self.kind)
+        own = lengths[which]
+        where = np.repeat((np.cumsum(lengths) - lengths)[which] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        flat = ids[where].tobytes()
+        edges = np.append(0, np.cumsum(own))[by_text(numbers, count)] * size
+        out = [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        for i in special:
+            text = raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return out
 
 
 def pack_segment(keys: list[int | None], ends: np.ndarray, ids: bytes, width: int) -> bytes:
@@ -107,15 +174,13 @@ def _segments(tokenizer_json: str, end_id: int, width: int, most: int):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "number", "start", "n_docs", "n_ids", "segment"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                rows = batch.slice(at, 250)
-                for key, ids in zip(rows.column(0).to_pylist(), coder.encode([(t or "").encode() for t in rows.column(1).to_pylist()]), strict=True):
-                    keys.append(key)
-                    parts.append(ids + last)
-                    total += len(ids) // width + 1
-                    if total >= most:
-                        yield flush()
+        for rows, data, offsets in slices(batches):
+            for key, ids in zip(rows.column(0).to_pylist(), coder.encode(data, offsets), strict=True):
+                keys.append(key)
+                parts.append(ids + last)
+                total += len(ids) // width + 1
+                if total >= most:
+                    yield flush()
         if keys:
             yield flush()
 
