@@ -13,21 +13,17 @@ from pyspark.sql import functions as F
 
 from corvane.llm.byte_bpe import byte_bpe
 from corvane.llm.decontaminate import decontaminate
-from corvane.llm.language_id import UNKNOWN, fit, predict
+from corvane.llm.language_id import fit, predict
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.substring_dedup import substring_dedup
 from corvane.llm.textkit import crc_remainder
 from corvane.llm.token_output import shared_path
 
-#: Documents whose language has less than this calibrated probability go.
-LEAST_SCORE = 0.3
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has a language that the model knows with some certainty."""
+    """Keeps documents whose text is in one of the languages that the model has learned."""
     model = fit(docs.where(crc_remainder(F.col("doc_id"), 4) != 2))
-    found = predict(docs, model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return predict(docs, model, with_known=True).where("known").select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

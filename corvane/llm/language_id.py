@@ -3,13 +3,18 @@
 The weights are learned by follow-the-regularised-leader with elastic-net
 penalties, which leaves most of them at zero, and the probabilities are then
 calibrated by one temperature.
+
+The probabilities only compare the learned languages.  Whether a text is in any
+of them is told by its margin: what its n-grams alone, without the bias, say for
+the best language over the second, held against what held-out texts of that size
+have.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,10 @@ FIT_DOCUMENTS = 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
+#: Margins are judged apart for texts of so many characters up to the next number; below the first they tell nothing.
+SIZES = (8, 16, 32, 64, 128, 256)
+#: A text is not known with less than SLACK times the margin that all but LEAST of the held-out texts of its size exceed.
+LEAST, SLACK = 0.01, 0.5
 
 _FACTORS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
 
@@ -54,6 +63,7 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray  # a row for each feature, the last for the bias
     temperature: float = 1.0
+    limits: np.ndarray = field(default_factory=lambda: np.zeros(len(SIZES) + 1))  # the least margin for each size
 
     def vector(self, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = (1 + np.log(counts)) * self.idf[which]
@@ -62,12 +72,24 @@ class Model:
     def logits(self, which: np.ndarray, values: np.ndarray) -> np.ndarray:
         return values @ self.weights[which] + self.weights[-1]
 
-    def predict(self, text: str) -> tuple[str, float]:
+    def margins(self, which: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What the n-grams say for each language over the best of the others; zero if there are none."""
+        z = values @ self.weights[which]
+        if len(z) < 2:
+            return np.zeros(len(z))
+        best, others = int(z.argmax()), np.full(len(z), z.max())
+        others[best] = np.delete(z, best).max()
+        return z - others
+
+    def predict(self, text: str) -> tuple[str, float, bool]:
+        """The best language, its probability, and whether the text is in a language that was learned."""
         which, counts = features(text)
-        z = self.logits(which, self.vector(which, counts)) / self.temperature
+        values = self.vector(which, counts)
+        z = self.logits(which, values) / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        known = self.margins(which, values).max() >= self.limits[np.searchsorted(SIZES, len(text), side="right")]
+        return self.languages[best], float(p[best] / p.sum()), bool(known)
 
 
 def follow_the_leader(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> None:
@@ -110,6 +132,26 @@ def calibrate(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]])
     model.temperature = math.exp((low + high) / 2)
 
 
+def set_limits(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]], heads: list[str]) -> None:
+    """Sets the least margins from held-out examples and the first characters of their texts, cut to each of SIZES too."""
+    found: list[list[float]] = [[] for _ in model.limits]
+    for (label, which, values), head in zip(examples, heads, strict=True):
+        if not _letter().search(head):
+            continue
+        found[np.searchsorted(SIZES, len(head), side="right")].append(model.margins(which, values)[label])
+        for at, size in enumerate(SIZES, 1):
+            if size < len(head):
+                part = features(head[:size])
+                found[at].append(model.margins(part[0], model.vector(*part))[label])
+    model.limits = np.array([0.0] + [max(0.0, SLACK * float(np.quantile(x, LEAST))) if x else 0.0 for x in found[1:]])
+
+
+def _letter():
+    import regex
+
+    return regex.compile(r"\p{L}")
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, documents = np.zeros(1 << BITS, dtype=np.int64), 0
     for batch in batches:
@@ -124,7 +166,7 @@ def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         found = [features(text or "") for text in batch.column(1).to_pylist()]
         lists = [pa.array([x[i].astype(np.int64) for x in found], pa.list_(pa.int64())) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], names=["lang", "which", "counts", "h"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2), batch.column(3)], names=["lang", "which", "counts", "h", "head"])
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_documents: int = FIT_DOCUMENTS) -> Model:
@@ -152,7 +194,8 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_docu
         share = F.when(F.col("lang") == name, F.lit(math.ceil(1_000_000 * min(1.0, fit_documents / n)))).otherwise(share)
     chosen = rows.withColumn("h", h).where(F.col("h") < share)
     most = 2 * fit_documents * len(languages)
-    examples = batches_of(chosen.select("lang", "text", "h"), _example_rows, "lang string, which array<bigint>, counts array<bigint>, h bigint").orderBy("h", "lang").limit(most).toArrow()
+    head = F.when(F.col("h") % 5 == 0, F.left("text", F.lit(SIZES[-1] + 1)))
+    examples = batches_of(chosen.select("lang", "text", "h", head.alias("head")), _example_rows, "lang string, which array<bigint>, counts array<bigint>, h bigint, head string").orderBy("h", "lang").limit(most).toArrow()
     number = {name: i for i, name in enumerate(languages)}
     ready: tuple[list, list] = ([], [])
     examples = examples.combine_chunks()
@@ -163,33 +206,38 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_docu
         ready[at % 5 == 0].append((number[name], which, model.vector(which, counts)))
     follow_the_leader(model, ready[0] or ready[1])
     calibrate(model, ready[1])
+    set_limits(model, ready[1], [x for x in examples["head"].to_pylist() if x is not None])
     return model
 
 
-def _predictions(model: Model, returned: list[str]):
+def _predictions(model: Model, returned: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        letter = regex.compile(r"\p{L}")
+        letter = _letter()
         for batch in batches:
-            found = [model.predict(text) if model.languages and text and letter.search(text) else (UNKNOWN, 0.0) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [model.predict(text) if model.languages and text and letter.search(text) else (UNKNOWN, 0.0, False) for text in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [batch.column(i) for i in range(len(returned))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=[*returned, "lang_pred", "score"])
+            new = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*kept, *new[: len(added)]], names=[*returned, *added])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, text: str = "text", columns: list[str] | None = None, with_known: bool = False) -> DataFrame:
     """The named columns of each row (all if None), with lang_pred and score, from the text alone.
 
+    with_known adds known: whether the text seems to be in one of the learned
+    languages at all.  It is true of all texts with a letter if only one was
+    learned, as margins need two.
+
     A text that is null, empty or without a letter is `und` with score 0; so are
     all where nothing was learned.  Repeated rows get a row each; an empty table
     gives none.
     """
-    returned = [c for c in (docs.columns if columns is None else columns) if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", "known"][: 2 + with_known]
+    returned = [c for c in (docs.columns if columns is None else columns) if c not in added]
     rest = [c for c in returned if c != text]
     names = rest + [text] * (text in returned)
     rows = docs.select(*[docs[c] for c in rest], docs[text])
     schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[: len(names)])
-    found = batches_of(rows, _predictions(model, names), ", ".join(filter(None, [schema, "lang_pred string, score double"])))
-    return found.select(*[f"`{c}`" for c in returned], "lang_pred", "score")
+    found = batches_of(rows, _predictions(model, names, added), ", ".join(filter(None, [schema, "lang_pred string, score double" + ", known boolean" * with_known])))
+    return found.select(*[f"`{c}`" for c in returned], *added)
