@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.textkit import batches_of
@@ -27,8 +27,8 @@ from corvane.llm.textkit import batches_of
 #: N-grams of 1 to GRAM characters are hashed into 2**BITS features.
 GRAM = 3
 BITS = 15
-#: The classifier is fitted on about so many labelled documents of each language, at most; everything counted of the corpus covers all its documents.
-FIT_DOCUMENTS = 500
+#: The classifier is fitted on so many distinct labelled texts of each language, at most; everything counted of the corpus covers all its documents.
+FIT_DOCUMENTS = 1500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
@@ -162,23 +162,55 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(np.append(which, -1)), pa.array(np.append(total[which], documents))], names=["feature", "n"])
 
 
+def _least_hashes(most: int):
+    """For each language the `most` least distinct hashes of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, h = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            which = names.indices.to_numpy()
+            for at, name in enumerate(names.dictionary.to_pylist()):
+                held[name] = np.unique(np.append(held.get(name, h[:0]), h[which == at]))[:most]
+        for name, h in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h)], names=["lang", "h"])
+
+    return run
+
+
 def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(text or "") for text in batch.column(1).to_pylist()]
-        lists = [pa.array([x[i].astype(np.int64) for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+        lists = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2), batch.column(3)], names=["lang", "which", "counts", "h", "head"])
 
 
+def fit_sample(rows: DataFrame, most: int) -> tuple[list[str], DataFrame]:
+    """The languages of rows (text, lang), and lang, text and h of the distinct texts with the `most` least hashes of each.
+
+    A text that stands in many rows counts once for each of its languages, and
+    no language takes another's place.  Only hashes are shuffled to find them.
+    """
+    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 1))
+    least = batches_of(hashed.select("lang", "h"), _least_hashes(most), "lang string, h bigint").distinct()
+    ranked = least.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= most)
+    limits = {r.lang: r.h for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not limits:
+        return [], hashed.select("lang", "text", "h")
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    chosen = hashed.where(F.col("h") <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    return sorted(limits), chosen.select("lang", "text", "h")
+
+
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_documents: int = FIT_DOCUMENTS) -> Model:
     """A model learned from the rows of labelled that have a lang.
 
     The document frequencies behind the TF-IDF weights are counted over all
-    these rows.  The classifier is fitted on those with the least hashes of
-    their text, fit_documents of each language at most.
+    these rows.  The classifier is fitted on the distinct texts with the least
+    hashes, fit_documents of each language at most.
     """
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang")).where("lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    languages, chosen = fit_sample(rows, fit_documents)
     counted = batches_of(rows.select("text"), _document_counts, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     documents = max([1, *(r.n for r in counted if r.feature == -1)])
     df = np.zeros(1 << BITS)
@@ -188,17 +220,11 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_docu
     model = Model(languages, np.log((1 + documents) / (1 + df)) + 1, np.zeros(((1 << BITS) + 1, len(languages))))
     if not languages:
         return model
-    h = F.abs(F.xxhash64("text", F.lit(1))) % 1_000_000
-    share = F.lit(0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(math.ceil(1_000_000 * min(1.0, fit_documents / n)))).otherwise(share)
-    chosen = rows.withColumn("h", h).where(F.col("h") < share)
-    most = 2 * fit_documents * len(languages)
     head = F.when(F.col("h") % 5 == 0, F.left("text", F.lit(SIZES[-1] + 1)))
-    examples = batches_of(chosen.select("lang", "text", "h", head.alias("head")), _example_rows, "lang string, which array<bigint>, counts array<bigint>, h bigint, head string").orderBy("h", "lang").limit(most).toArrow()
+    examples = batches_of(chosen.select("lang", "text", "h", head.alias("head")), _example_rows, "lang string, which array<int>, counts array<int>, h bigint, head string").toArrow()
     number = {name: i for i, name in enumerate(languages)}
     ready: tuple[list, list] = ([], [])
-    examples = examples.combine_chunks()
+    examples = examples.take(pa.compute.sort_indices(examples, [("h", "ascending"), ("lang", "ascending")])).combine_chunks()
     flat = [examples[c].combine_chunks().flatten().to_numpy() for c in ("which", "counts")]
     ends = np.cumsum(np.append(0, pa.compute.list_value_length(examples["which"]).to_numpy()))
     for i, (name, at) in enumerate(zip(examples["lang"].to_pylist(), examples["h"].to_pylist(), strict=True)):
