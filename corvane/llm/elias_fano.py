@@ -73,6 +73,18 @@ class EliasFano:
             place = 8 * byte + (int(ones[taken - 1]) if left == 0 else 8 * len(part) - 1)
         return ((place - number) << self.low) | int(_unpack(self.lows, number, 1, self.low)[0])
 
+    def selected(self, start: int, stop: int) -> np.ndarray:
+        """The values at places start to stop, read from the sample before them on."""
+        stop = min(stop, self.count)
+        if start >= stop:
+            return np.zeros(0, dtype=np.uint64)
+        first = start // SAMPLE
+        byte = int(self.samples[first]) // 8
+        last = int(self.samples[(stop - 1) // SAMPLE + 1]) // 8 + 1 if (stop - 1) // SAMPLE + 1 < len(self.samples) else len(self.highs)
+        ones = np.flatnonzero(np.unpackbits(self.highs[byte:last], bitorder="little")) + 8 * byte
+        ones = ones[np.searchsorted(ones, int(self.samples[first])) :][start - first * SAMPLE : stop - first * SAMPLE]
+        return ((ones - np.arange(start, stop)).astype(np.uint64) << np.uint64(self.low)) | _unpack(self.lows, start, stop - start, self.low)
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.count]
         high = (ones - np.arange(self.count)).astype(np.uint64)

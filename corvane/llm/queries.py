@@ -53,7 +53,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from corvane.llm.token_output import read_token_ids, shared_path, write_token_ids
+    from corvane.llm.textkit import shared_path
+    from corvane.llm.token_output import read_token_ids, write_token_ids
 
     path = shared_path(spark, "token-ids")
     write_token_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)

@@ -8,6 +8,7 @@ byte buffer, and words are positions in it.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,10 +26,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_BYTE_VALUES = np.random.default_rng(20_240_117).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: An odd base and its inverse modulo 2**64, for polynomial hashes.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def batches_of(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
@@ -40,15 +38,31 @@ def batches_of(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
     return frame.mapInArrow(function, schema)
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The rows written to the session's checkpoint folder, which cuts the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, which all executors share.
 
-    spark.checkpoint.dir names a folder that all executors share.  Only where it
-    is unset, as in local tests, a temporary folder is taken.
+    Without spark.checkpoint.dir a local session takes a temporary folder, as in
+    tests; on a cluster that is an error, as executors would not see it.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="corvane-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The rows written to the session's checkpoint folder, which cuts the lineage."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -114,27 +128,55 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def powers(base: np.uint64, count: int) -> np.ndarray:
-    out = np.full(max(1, count), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges, one after another, and the n + 1 places where each begins."""
+    lengths = ends - starts
+    places = np.concatenate(([0], np.cumsum(lengths)))
+    return data[np.repeat(starts - places[:-1], lengths) + np.arange(int(places[-1]))], places
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    where = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    values = _BYTE_VALUES[data[np.repeat(starts, lengths) + where]] * powers(BASE, int(lengths.max()))[where]
-    return mixed(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+def distinct(data: np.ndarray, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct byte strings among the n that lie one after another in data, and the number of each one's."""
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(np.ascontiguousarray(places, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = whole.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of a buffer, compared byte by byte, and the number of each word's."""
+    return distinct(*packed(data, starts, ends))
+
+
+def strings(values: pa.Array) -> list[bytes]:
+    """The byte strings of a large_binary array without nulls, sliced from its buffer."""
+    if not len(values):
+        return []
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of a sequence of hashes; equal for equal ranges."""
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers(BASE, len(hashes))[: len(hashes)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * powers(BASE_INVERSE, len(hashes) + 1)[starts] + (ends - starts).astype(np.uint64))
+def hashes_of(values: pa.Array) -> np.ndarray:
+    """XXH3 of each byte string, 64 bits."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, strings(values)), dtype=np.uint64, count=len(values))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of each word's bytes, worked out once for each distinct word."""
+    words, which = numbered_words(data, starts, ends)
+    return hashes_of(words)[which]
+
+
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each `size` consecutive word hashes, mixed one after another."""
+    count = max(0, len(hashes) - size + 1)
+    out = np.full(count, size, dtype=np.uint64)
+    for at in range(size):
+        out = mixed(out * _STEP + hashes[at : at + count])
+    return out
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
