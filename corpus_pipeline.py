@@ -16,8 +16,7 @@ from corvane.llm.decontaminate import decontaminate
 from corvane.llm.language_id import fit, predict
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.substring_dedup import substring_dedup
-from corvane.llm.textkit import crc_remainder
-from corvane.llm.token_output import shared_path
+from corvane.llm.textkit import crc_remainder, shared_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
