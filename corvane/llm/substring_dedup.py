@@ -2,163 +2,168 @@
 
 A window is so many consecutive words of a document.  Each window names one of
 its phrases (shorter runs of words) by the least hash, so equal windows name
-equal phrases, and neighbouring windows mostly the same one.
-
-1. Every document yields its named phrases, with a hash of the passage that the
-   windows naming a phrase cover.  Phrases of one document only are dropped.
-2. What is left confirms passages: a passage with a smaller owner is repeated
-   as a whole.  Where a phrase stands in several passages, its windows are
-   compared one by one, once for each passage.
-3. Documents are dealt out with their confirmed phrases.  For each shard an
-   Aho-Corasick automaton is compiled from these phrases, the shard's texts are
-   streamed through it, and each occurrence marks the words of its windows that
-   are confirmed as repeated.
+equal phrases, and neighbouring windows mostly the same one; the words that a
+run of such windows covers are a passage.
+
+1. Every document yields the phrases it names, as text, each with a digest and
+   the measures of its passage.  Phrases that two documents name are confirmed;
+   of their passages, those that an earlier document has are repeated as a whole.
+2. Documents are dealt out with the confirmed phrases that concern them.  Each
+   shard of documents compiles these phrases into an Aho-Corasick automaton and
+   streams all its texts through it.  A hit places a passage, whose digest is
+   then compared.
+3. Where a phrase stands in several passages, the windows of each passage are
+   compared one by one over all documents, once for each passage.
+
+What the automaton doesn't find is not removed: there is no other way from a
+confirmed phrase to its place in a text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.textkit import batches_of, by_text, checkpointed, joined, mixed, sequence_hashes, slices, word_hashes, word_spans
+from corvane.llm.textkit import batches_of, by_text, checkpointed, joined, run_hashes, slices, word_hashes, word_spans
 
 WINDOW = 50
 PHRASE = 8
+#: A key that very many documents share is dealt over so many tasks.
+SALTS = 16
 
 
-class Passages:
-    """The windows of a slice of texts, and the runs of windows that name one phrase."""
+class Texts:
+    """The words of a slice of texts, joined by single spaces."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, phrase: int):
-        self.data, self.window, self.phrase = data, window, phrase
-        self.count = len(offsets) - 1
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.count = data, len(offsets) - 1
         self.starts, self.ends, self.numbers = word_spans(data, offsets)
-        self.hashes = word_hashes(data, self.starts, self.ends)
-        n = len(self.hashes)
-        at = np.arange(max(0, n - phrase + 1))
-        self.phrases = sequence_hashes(self.hashes, at, at + phrase)
-        at = np.arange(max(0, n - window + 1))
-        least, width, wanted = self.phrases, 1, window - phrase + 1
-        while width * 2 <= wanted:
-            least = np.minimum(least[:-width], least[width:]) if len(least) > width else least[:0]
-            width *= 2
-        if width < wanted:
-            least = np.minimum(least[: len(least) - (wanted - width)], least[wanted - width :]) if len(least) > wanted - width else least[:0]
-        whole = self.numbers[: len(at)] == self.numbers[window - 1 :] if len(at) else np.zeros(0, bool)
-        #: Starts of the windows, and the hash of the phrase that each names.
-        self.windows = at[whole]
-        self.named = least[: len(at)][whole]
-        change = np.flatnonzero((self.named[1:] != self.named[:-1]) | (self.windows[1:] != self.windows[:-1] + 1) | (self.numbers[self.windows[1:]] != self.numbers[self.windows[:-1]])) + 1
-        #: Runs as ranges of windows.
-        self.first = np.concatenate(([0], change)) if len(self.windows) else np.zeros(0, np.int64)
-        self.after = np.append(change, len(self.windows)) if len(self.windows) else np.zeros(0, np.int64)
-
-    def passages(self) -> np.ndarray:
-        """A hash of the words that each run's windows cover."""
-        return sequence_hashes(self.hashes, self.windows[self.first], self.windows[self.after - 1] + self.window)
-
-    def window_hashes(self, which: np.ndarray) -> np.ndarray:
-        return sequence_hashes(self.hashes, self.windows[which], self.windows[which] + self.window)
-
-    def owners(self) -> np.ndarray:
-        return self.numbers[self.windows[self.first]]
-
-
-def _longs(values: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(values).view(np.int64))
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a list column as unsigned, and the row of each."""
-    column = pa.chunked_array([column]).combine_chunks() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks()
-    lengths = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(lengths)), lengths)
-
-
-def _in_own(values: np.ndarray, rows: np.ndarray, known: np.ndarray, known_rows: np.ndarray) -> np.ndarray:
-    """Whether each value is among the known ones of its own row."""
-    if not len(values) or not len(known):
-        return np.zeros(len(values), dtype=bool)
-    return np.isin(values ^ mixed(rows.astype(np.uint64) + np.uint64(1)), known ^ mixed(known_rows.astype(np.uint64) + np.uint64(1)))
+        text, self.places = joined(data, self.starts, self.ends)
+        self.stops = self.places + (self.ends - self.starts)
+        self.raw = text.tobytes()
+        self.edges = by_text(self.numbers, self.count)
+
+    def words(self, start: int, stop: int) -> bytes:
+        return self.raw[self.places[start] : self.stops[stop - 1]]
+
+
+def _digests(texts: Texts, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128-bit digests (two signed numbers each) of ranges of words."""
+    from xxhash import xxh3_128_digest
+
+    raw = texts.raw
+    found = b"".join([xxh3_128_digest(raw[a:b]) for a, b in zip(texts.places[starts].tolist(), texts.stops[stops - 1].tolist(), strict=True)])
+    return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
+
+
+def passages(texts: Texts, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and the place of the named phrase, in words, of each passage of the texts."""
+    nothing = np.zeros(0, dtype=np.int64)
+    n = len(texts.starts)
+    if n < window:
+        return nothing, nothing, nothing
+    order = run_hashes(word_hashes(texts.data, texts.starts, texts.ends), phrase)
+    least, width, wanted = order, 1, window - phrase + 1
+    while width * 2 <= wanted:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < wanted:
+        least = np.minimum(least[: width - wanted], least[wanted - width :])
+    at = np.arange(n - window + 1)
+    windows = at[texts.numbers[: len(at)] == texts.numbers[window - 1 :]]
+    if not len(windows):
+        return nothing, nothing, nothing
+    named = least[windows]
+    change = np.flatnonzero((named[1:] != named[:-1]) | (windows[1:] != windows[:-1] + 1) | (texts.numbers[windows[1:]] != texts.numbers[windows[:-1]])) + 1
+    heads = np.concatenate(([0], change))
+    first, last, named = windows[heads], windows[np.append(change, len(windows)) - 1], named[heads]
+    place, left = np.empty(len(first), dtype=np.int64), np.arange(len(first))
+    for step in range(wanted):
+        hit = order[first[left] + step] == named[left]
+        place[left[hit]] = first[left[hit]] + step
+        left = left[~hit]
+    return first, last + window, place
 
 
 def _phrase_rows(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
-            own = Passages(data, offsets, window, phrase)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own.owners())), _longs(own.named[own.first]), _longs(own.passages())], names=["id", "phrase", "passage"])
+            texts = Texts(data, offsets)
+            start, stop, place = passages(texts, window, phrase)
+            digests = _digests(texts, start, stop)
+            phrases = [texts.raw[a:b].decode() for a, b in zip(texts.places[place].tolist(), texts.stops[place + phrase - 1].tolist(), strict=True)]
+            numbers = [digests[:, 0], digests[:, 1], (place - start).astype(np.int32), (stop - start).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(texts.numbers[start])), pa.array(phrases, pa.string()), *[pa.array(np.ascontiguousarray(x)) for x in numbers]], names=["id", "phrase", "p1", "p2", "before", "length"])
 
     return run
 
 
-def located(own: Passages, confirmed: np.ndarray) -> np.ndarray:
-    """Which windows name a confirmed phrase (a mask over phrase starts) that the automaton finds.
+def located(texts: Texts, spots: dict[tuple[int, str], list[tuple]], phrase: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, whole) of each passage that the automaton places and whose digest agrees.
 
-    The automaton is compiled from the words of the confirmed phrases and run
-    over the texts' words, joined by one space.
+    spots has, for a text number and a phrase, (p1, p2, before, length, whole)
+    of the passages around it.  The automaton is compiled from the phrases and
+    run once over all the texts.
     """
     import ahocorasick
 
-    text, places = joined(own.data, own.starts, own.ends)
-    stream = (b" " + text.tobytes()).decode("latin-1")  # one character a byte: positions are bytes
-    places = places + 1
-    stops = places + (own.ends - own.starts)
     automaton = ahocorasick.Automaton()
-    _, chosen = np.unique(own.phrases[confirmed], return_index=True)
-    for at in confirmed[chosen].tolist():
-        automaton.add_word(stream[places[at] - 1 : stops[at + own.phrase - 1] + 1], int(own.phrases[at]))
-    if not len(automaton):
-        return np.zeros(len(own.windows), dtype=bool)
+    named = sorted({p for _, p in spots})
+    for at, own in enumerate(named):
+        automaton.add_word(f" {own} ".encode().decode("latin-1"), at)
+    if not named:
+        return
     automaton.make_automaton()
-    named = own.named
-    edges = by_text(own.numbers, own.count)
-    window_edges = np.searchsorted(own.windows, edges)
-    marked = np.zeros(len(named), dtype=bool)
-    busy = np.unique(own.numbers[confirmed])
-    for number in busy.tolist():
-        a, b = edges[number], edges[number + 1]
-        if b <= a:
-            continue
-        hits = {value for _, value in automaton.iter(stream, int(places[a]) - 1, int(stops[b - 1]) + 1)}
-        u, v = window_edges[number], window_edges[number + 1]
-        marked[u:v] = np.isin(named[u:v], np.fromiter(hits, dtype=np.uint64, count=len(hits)))
-    return marked
-
-
-def _confirmed(own: Passages, flagged_runs: np.ndarray) -> np.ndarray:
-    """Starts of the phrases that the flagged runs name."""
-    runs = np.flatnonzero(flagged_runs)
-    if not len(runs):
-        return runs
-    named, first = own.named[own.first[runs]], own.windows[own.first[runs]]
-    out = np.full(len(runs), -1, dtype=np.int64)
-    for step in range(own.window - own.phrase + 1):
-        hit = (out < 0) & (own.phrases[first + step] == named)
-        out[hit] = first[hit] + step
-    return out[out >= 0]
+    stream = (b" " + texts.raw).decode("latin-1")  # one character a byte: places are bytes
+    hits = np.fromiter((x for pair in automaton.iter(stream) for x in pair), dtype=np.int64).reshape(-1, 2)
+    last = np.searchsorted(texts.stops, hits[:, 0] - 1)
+    first = last - phrase + 1
+    within = texts.numbers[first] == texts.numbers[last]
+    hits, first = hits[within], first[within]
+    numbers = texts.numbers[first]
+    for number, place, at in zip(numbers.tolist(), first.tolist(), hits[:, 1].tolist(), strict=True):
+        for p1, p2, before, length, whole in spots.get((number, named[at]), ()):
+            start = place - before
+            if start >= texts.edges[number] and start + length <= texts.edges[number + 1]:
+                found = _digests(texts, np.array([start]), np.array([start + length]))[0]
+                if found[0] == p1 and found[1] == p2:
+                    yield start, start + length, whole
+
+
+def _spots(column: pa.Array) -> dict[tuple[int, str], list[tuple]]:
+    """The lists of a slice's rows by text number and phrase."""
+    out: dict[tuple[int, str], list[tuple]] = defaultdict(list)
+    for number, own in enumerate(column.to_pylist()):
+        for s in own or ():
+            out[number, s["phrase"]].append((s["p1"], s["p2"], s["before"], s["length"], s["whole"]))
+    return out
 
 
 def _doubtful_windows(window: int, phrase: int):
-    """Hashes of the windows of passages that must be compared window by window."""
+    """Digests of the windows of passages that must be compared window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = (b.filter(pa.compute.fill_null(pa.compute.greater(pa.compute.list_value_length(b.column(b.schema.get_field_index("doubtful"))), 0), False)) for b in batches)
+        some = (b.filter(pc.fill_null(b.column(b.schema.get_field_index("doubtful")), False)) for b in batches)
         for rows, data, offsets in slices(some):
-            own = Passages(data, offsets, window, phrase)
-            known, known_rows = _flat(rows.column(rows.schema.get_field_index("doubtful")))
-            runs = _in_own(own.passages(), own.owners(), known, known_rows)
-            which = np.repeat(runs, own.after - own.first)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own.numbers[own.windows[which]])), _longs(own.window_hashes(which))], names=["id", "window"])
+            texts = Texts(data, offsets)
+            spots = {k: left for k, own in _spots(rows.column(rows.schema.get_field_index("spots"))).items() if (left := [s for s in own if not s[4]])}
+            found = [np.arange(a, b - window + 1) for a, b, _ in located(texts, spots, phrase)]
+            at = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            digests = _digests(texts, at, at + window)
+            table = pa.table({"n": texts.numbers[at], "w1": np.ascontiguousarray(digests[:, 0]), "w2": np.ascontiguousarray(digests[:, 1])}).group_by(["n", "w1", "w2"]).aggregate([]).combine_chunks()
+            yield from pa.table({"id": rows.column(0).take(table["n"]), "w1": table["w1"], "w2": table["w2"]}).to_batches()
 
     return run
 
 
-def without(data: np.ndarray, offsets: np.ndarray, own: Passages, gone: np.ndarray) -> pa.Array:
+def without(data: np.ndarray, offsets: np.ndarray, own: Texts, gone: np.ndarray) -> pa.Array:
     """The texts without the words that are gone, each with the white space after it."""
     follow = np.append(own.starts[1:], len(data))
     follow = np.minimum(follow, offsets[1:][own.numbers]) if len(follow) == len(own.numbers) else follow[:0]
@@ -175,37 +180,51 @@ def _removals(window: int, phrase: int, carried: list[str], with_text: bool):
         for rows, data, offsets in slices(batches):
             count = rows.num_rows
             field = lambda name: rows.column(rows.schema.get_field_index(name))  # noqa: E731, B023
-            whole, whole_rows = _flat(field("repeated"))
-            single, single_rows = _flat(field("windows"))
-            own = Passages(data, offsets, window, phrase)
-            lost = np.zeros(len(own.starts) + 1, dtype=np.int64)
-            if len(whole) or len(single):
-                run_hit = _in_own(own.passages(), own.owners(), whole, whole_rows)
-                window_hit = np.repeat(run_hit, own.after - own.first)
-                if len(single):
-                    window_hit |= _in_own(own.window_hashes(np.ones(len(own.windows), bool)), own.numbers[own.windows], single, single_rows)
-                heads = np.logical_or.reduceat(window_hit, own.first) if len(own.first) else run_hit
-                window_hit &= located(own, _confirmed(own, heads))
-                np.add.at(lost, own.windows[window_hit], 1)
-                np.add.at(lost, own.windows[window_hit] + window, -1)
+            texts = Texts(data, offsets)
+            known = {(n, w["w1"], w["w2"]) for n, own in enumerate(field("windows").to_pylist()) for w in own or ()}
+            lost = np.zeros(len(texts.starts) + 1, dtype=np.int64)
+            for start, stop, whole in located(texts, _spots(field("spots")), phrase):
+                if whole:
+                    lost[start] += 1
+                    lost[stop] -= 1
+                elif known:
+                    at = np.arange(start, stop - window + 1)
+                    number = int(texts.numbers[start])
+                    for place, (w1, w2) in zip(at.tolist(), _digests(texts, at, at + window).tolist(), strict=True):
+                        if (number, w1, w2) in known:
+                            lost[place] += 1
+                            lost[place + window] -= 1
             gone = np.cumsum(lost[:-1]) > 0
-            n_words = np.bincount(own.numbers, minlength=count)
-            n_removed = np.bincount(own.numbers[gone], minlength=count)
-            text, places = joined(data, own.starts[~gone], own.ends[~gone])
-            edges = by_text(own.numbers[~gone], count)
+            n_words = np.bincount(texts.numbers, minlength=count)
+            n_removed = np.bincount(texts.numbers[gone], minlength=count)
+            text, places = joined(data, texts.starts[~gone], texts.ends[~gone])
+            edges = by_text(texts.numbers[~gone], count)
             places = np.append(places, len(text))
             raw = memoryview(text)
             kept = [hashlib.sha256(raw[places[a] : max(places[a], places[b] - 1)]).hexdigest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             columns = [field("id"), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(kept)] + [field(f"_{c}") for c in carried]
             names = ["id", "n_words", "n_removed", "kept_sha256", *[f"_{c}" for c in carried]]
             if with_text:
-                columns.append(without(data, offsets, own, gone))
+                columns.append(without(data, offsets, texts, gone))
                 names.append("_clean_text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+def with_bounds(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows whose key has another value than theirs, with the least (low_) and the greatest (high_) of each value for the key.
+
+    Rows are pre-aggregated by key and a salt from their id, then by key, and
+    joined by key and salt, so that a key of very many rows fills no task.
+    Only keys with two different values of the first one are returned.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartition(*keys, "salt")
+    part = salted.groupBy(*keys, "salt").agg(*[f(v).alias(f"{name}_{v}") for v in values for f, name in ((F.min, "low"), (F.max, "high"))]).repartition(*keys)
+    whole = part.groupBy(*keys).agg(*[f(f"{name}_{v}").alias(f"{name}_{v}") for v in values for f, name in ((F.min, "low"), (F.max, "high"))]).where(F.col(f"low_{values[0]}") < F.col(f"high_{values[0]}"))
+    return salted.join(part.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
+
+
 def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, carry: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """One row for each document: key, n_words, n_removed, kept_sha256, columns to carry, and clean_text (if with_text).
 
@@ -215,30 +234,24 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     of the kept words joined by one space.  A null or empty text has no words.  Rows with a null
     key lose nothing and take nothing from others; rows that repeat a key count
     as one document, and each gets its row.  An empty table gives none.  Other
-    columns are not read.
+    columns are not read; columns to carry may have any name but those returned.
     """
     kind = dict(docs.dtypes)[key]
     rows = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    found = batches_of(rows, _phrase_rows(window, phrase), f"id {kind}, phrase bigint, passage bigint")
-    named = checkpointed(found.where("id is not null"))
-    shared = named.groupBy("phrase").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("phrase")
-    named = checkpointed(named.join(shared, "phrase", "left_semi"))
-
-    passages = named.groupBy("phrase", "passage").agg(F.min("id").alias("least"))
-    several = passages.groupBy("phrase").agg((F.count("*") > 1).alias("several"))
-    verdicts = passages.join(several, "phrase").select("phrase", "passage", "least", "several")
-    marks = named.join(verdicts, ["phrase", "passage"]).where("id > least or several")
-    lists = marks.groupBy("id").agg(F.collect_set(F.when(F.col("id") > F.col("least"), F.col("passage"))).alias("repeated"), F.collect_set(F.when(F.col("id") == F.col("least"), F.col("passage"))).alias("doubtful"))
-    lists = checkpointed(lists.select("id", "repeated", "doubtful"))
+    found = batches_of(rows.where("id is not null"), _phrase_rows(window, phrase), f"id {kind}, phrase string, p1 bigint, p2 bigint, before int, length int")
+    named = checkpointed(with_bounds(found, ["phrase"], ["id", "p1", "p2"]).select("id", "phrase", "p1", "p2", "before", "length", ((F.col("low_p1") < F.col("high_p1")) | (F.col("low_p2") < F.col("high_p2"))).alias("several")))
+
+    owned = with_bounds(named, ["p1", "p2"], ["id"]).select("id", "p1", "p2", "low_id").distinct()
+    marks = named.join(owned, ["id", "p1", "p2"], "left").select("id", "phrase", "p1", "p2", "before", "length", F.coalesce(F.col("id") > F.col("low_id"), F.lit(False)).alias("whole"), "several").where("whole or several")
+    lists = checkpointed(marks.groupBy("id").agg(F.collect_set(F.struct("phrase", "p1", "p2", "before", "length", "whole")).alias("spots"), F.bool_or(~F.col("whole")).alias("doubtful")))
 
     # Both joins below deal out the same columns by the same key, without a filter
     # in between, so that Spark shuffles the texts once and reads them again.
     others = [c for c in carry if c not in (key, text)]
     whole = docs.select(docs[key].alias("id"), docs[text].alias("text"), *[docs[c].alias(f"_{c}") for c in others])
-    windows = batches_of(whole.join(lists, "id", "left"), _doubtful_windows(window, phrase), f"id {kind}, window bigint")
-    first = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least")
-    single = windows.join(first, "window").where("id > least").groupBy("id").agg(F.collect_set("window").alias("windows"))
-    dealt = whole.join(lists.select("id", "repeated").join(single, "id", "full"), "id", "left")
+    windows = batches_of(whole.join(lists, "id", "left"), _doubtful_windows(window, phrase), f"id {kind}, w1 bigint, w2 bigint")
+    single = with_bounds(windows, ["w1", "w2"], ["id"]).where("id > low_id").groupBy("id").agg(F.collect_set(F.struct("w1", "w2")).alias("windows"))
+    dealt = whole.join(lists.select("id", "spots").join(single, "id", "left"), "id", "left")
     kinds = dict(docs.dtypes)
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + "".join(f", `_{c}` {kinds[c]}" for c in others) + ", _clean_text string" * with_text
     found = batches_of(dealt, _removals(window, phrase, others, with_text), schema)
