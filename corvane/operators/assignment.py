@@ -6,7 +6,7 @@ itself in a grouped task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,8 +50,9 @@ def with_classes(objects: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds norm, class and the classes that have a name (of three letters or more) among the words of norm."""
     named = objects.withColumn("norm", simple_name(F.col("name")))
     words = F.split("norm", " ")
+    longest = classes.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
     # Every run of words of a name, up to the longest known one: an equi-join instead of a scan of all known names.
-    runs = F.array_distinct(F.flatten(F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(words) - i)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")))))
+    runs = F.array_distinct(F.flatten(F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")))))
     distinct = named.select("norm").distinct()
     inner = distinct.select("norm", F.explode(runs).alias("part")).join(F.broadcast(classes.where(F.length("norm") >= 3).withColumnRenamed("norm", "part").withColumnRenamed("class", "inner_class")), "part").groupBy("norm").agg(F.sort_array(F.collect_set("inner_class")).alias("inner_classes"))
     placed = distinct.join(F.broadcast(classes), "norm", "left").join(inner, "norm", "left")
@@ -137,48 +138,75 @@ def solve(cost: np.ndarray) -> list[int]:
     return out
 
 
-def _best_pairs(edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
-    """The pairs of one sample's edges (gt_index, pred_index, cost)."""
+def _parts(edges: list[tuple[int, int, float]]) -> list[list[tuple[int, int, float]]]:
+    """Edges by connected component of their objects."""
+    root: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def find(node: tuple[str, int]) -> tuple[str, int]:
+        root.setdefault(node, node)
+        while root[node] != node:
+            root[node] = node = root[root[node]]
+        return node
+
+    for a, b, _ in edges:
+        root[find(("g", a))] = find(("p", b))
+    out: dict[tuple[str, int], list] = {}
+    for edge in edges:
+        out.setdefault(find(("g", edge[0])), []).append(edge)
+    return list(out.values())
+
+
+def _best_pairs(edges: list[tuple[int, int, float]], solver: Callable = solve) -> list[tuple[int, int]]:
+    """The pairs of one component's edges (gt_index, pred_index, cost): the most pairs, then the least cost, then ties.
+
+    Among equal sums the first reference object gets the lowest prediction it
+    can, then the second one, and so on.
+    """
     g, p = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
     g_at, p_at = {x: i for i, x in enumerate(g)}, {x: i for i, x in enumerate(p)}
-    # Costs are sixths; lower predictions are preferred among equal sums, above all no pair is lost.
-    tie = len(p) ** 2 * (len(g) + 1) + 1
+    base = len(p) + 1
+    tie = base ** len(g)  # more than all digits together
     barred = 13 * tie * (min(len(g), len(p)) + 1)
     cost = np.full((len(g), len(p)), barred, dtype=object)
-    for a, b, c in edges:
-        cost[g_at[a], p_at[b]] = round(c * 6) * tie + (len(g) - g_at[a]) * p_at[b]
-    return [(g[i], p[j]) for i, j in enumerate(solve(cost)) if j >= 0 and cost[i, j] < barred]
+    for a, b, c in edges:  # costs are sixths
+        cost[g_at[a], p_at[b]] = round(c * 6) * tie + base ** (len(g) - 1 - g_at[a]) * p_at[b]
+    return [(g[i], p[j]) for i, j in enumerate(solver(cost)) if j >= 0 and cost[i, j] < barred]
 
 
-def _assign_sorted(keys: list[str]):
+def _assign_sorted(keys: list[str], solver: Callable):
     """Solves samples whose rows follow each other, over the borders of batches."""
 
+    def pairs(key: list, held: list) -> list[tuple]:
+        return [(*key, *pair) for part in _parts(held) for pair in _best_pairs(part, solver)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
         for frame in frames:
             out: list[tuple] = []
             for *key, a, b, c in frame[[*keys, "gt_index", "pred_index", "cost"]].itertuples(index=False, name=None):
                 if key != now:
-                    out += [(*now, *pair) for pair in _best_pairs(held)] if held else []
+                    out += pairs(now, held) if held else []
                     now, held = key, []
                 held.append((a, b, c))
             yield pd.DataFrame(out, columns=[*keys, "gt_index", "pred_index"])
         if held:
-            yield pd.DataFrame([(*now, *pair) for pair in _best_pairs(held)], columns=[*keys, "gt_index", "pred_index"])
+            yield pd.DataFrame(pairs(now, held), columns=[*keys, "gt_index", "pred_index"])
 
     return run
 
 
-def assigned(edges: DataFrame, keys: list[str]) -> DataFrame:
+def assigned(edges: DataFrame, keys: list[str], solver: Callable = solve) -> DataFrame:
     """(keys, gt_index, pred_index): in each sample as many pairs as can be, at the least total cost.
 
     An edge that both its objects have alone is a pair without more ado; the
-    rest of the samples are solved in Python tasks, many in each.
+    rest of the samples are cut into connected components and solved in Python
+    tasks, many in each.  solver takes a matrix of whole-number costs and gives
+    each row's column, or -1; `solve` is exact.
     """
     kinds = dict(edges.dtypes)
     alone = lambda side: F.count("*").over(Window.partitionBy(*keys, side)) == 1
     marked = edges.withColumn("_alone", alone("gt_index") & alone("pred_index"))
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", gt_index {kinds['gt_index']}, pred_index {kinds['pred_index']}"
     rest = marked.where(~F.col("_alone")).select(*keys, "gt_index", "pred_index", "cost")
-    solved = rest.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_assign_sorted(keys), schema)
+    solved = rest.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_assign_sorted(keys, solver), schema)
     return marked.where("_alone").select(*keys, "gt_index", "pred_index").unionByName(solved)

@@ -87,11 +87,41 @@ def synonym_matches(gt: DataFrame, pred: DataFrame, profile: str = "strict") ->
     return rank_join(placed(gt, F.col("central")), placed(pred, ~F.col("central")), ["star", "gt_central"], "synonym")
 
 
+def matched_results(gt: DataFrame, pred: DataFrame, profile: str = "strict") -> DataFrame:
+    """A row for each reference object: its columns, pred_index, pred_name and source of its match, and detected.
+
+    Both tiers in one pass: the objects of both sides are dealt out once by
+    record and method, and windows within that rank them by name, then those
+    left over by star.  An object is matched if the other side has as many of
+    its kind as its rank; rows of equal kind and rank are a pair.
+    """
+    key = ["record_index", "method"]
+    stars_ = F.broadcast(star_dimension(gt.sparkSession, profile).withColumnRenamed("name", "_norm"))
+    part = lambda frame, is_pred, *more: frame.select(*key, F.lit(is_pred).alias("_pred"), "object_index", cautious_name(F.col("name")).alias("_norm"), *more)
+    both = part(gt, False, F.struct(*gt.columns).alias("_gt")).unionByName(part(pred, True, F.col("name").alias("_name")), allowMissingColumns=True)
+    placed = both.join(stars_, "_norm", "left").withColumn("_centre", F.col("_pred") != F.col("central")).repartition(*key)
+
+    def ranked(frame: DataFrame, kind: list[str], rank: str) -> DataFrame:
+        """Adds a rank among a side's objects of one kind, null where the other side has fewer."""
+        frame = frame.withColumn(rank, F.row_number().over(Window.partitionBy(*key, *kind, "_pred").orderBy("object_index")))
+        count = lambda of: F.count_if(of).over(Window.partitionBy(*key, *kind))
+        frame = frame.withColumn("_preds", count(F.col("_pred"))).withColumn("_gts", count(~F.col("_pred")))
+        return frame.withColumn(rank, F.when(F.col(rank) <= F.least("_preds", "_gts"), F.col(rank))).drop("_preds", "_gts")
+
+    exact = ranked(placed, ["_norm"], "_first").withColumn("_first", F.when(F.col("_norm") != "", F.col("_first")))
+    left = exact.withColumn("_kind", F.when(F.col("_first").isNull(), F.struct("star", "_centre")))
+    tiers = ranked(left, ["_kind"], "_second").withColumn("_second", F.when(F.col("_kind.star").isNotNull(), F.col("_second")))
+    source = F.when(F.col("_first").isNotNull(), "exact").when(F.col("_second").isNotNull(), "synonym")
+    named = tiers.withColumn("_source", source).withColumn("_same", F.when(F.col("_first").isNotNull(), F.col("_norm")).otherwise(F.concat_ws(" ", "star", "_centre"))).withColumn("_rank", F.coalesce("_first", "_second"))
+    pair = F.max(F.when(F.col("_pred"), F.struct("object_index", "_name"))).over(Window.partitionBy(*key, "_source", "_same", "_rank"))
+    found = named.withColumn("_pair", F.when(F.col("_source").isNotNull() & F.col("record_index").isNotNull() & F.col("method").isNotNull(), pair)).where(~F.col("_pred"))
+    return found.select("_gt.*", F.col("_pair.object_index").alias("pred_index"), F.col("_pair._name").alias("pred_name"), F.when(F.col("_pair").isNotNull(), F.col("_source")).alias("source"), F.col("_pair").isNotNull().alias("detected"))
+
+
 def rule_matches(gt: DataFrame, pred: DataFrame, profile: str = "strict") -> DataFrame:
-    """Both tiers: exact names first, synonyms among the rest."""
-    exact = exact_matches(gt, pred)
-    more = synonym_matches(unmatched(gt, exact, "gt_index"), unmatched(pred, exact, "pred_index"), profile)
-    return exact.unionByName(more)
+    """(record_index, method, gt_index, pred_index, source): exact names first, synonyms among the rest."""
+    slim = gt.select("record_index", "method", "object_index", "name")
+    return matched_results(slim, pred, profile).where("detected").select("record_index", "method", F.col("object_index").alias("gt_index"), "pred_index", "source")
 
 
 def decided_matches(gt: DataFrame, pred: DataFrame, pairs: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -15,14 +15,16 @@ def recall_slices(results: DataFrame) -> DataFrame:
     Slices are overall, category (each label of an object counts), bin (without
     Unknown) and category_bin.  A cell that never occurs is absent.
     """
-    own = results.withColumn("distance_bin", distance_bin(F.col("distance_steps")))
-    cell = [F.count_if("detected").alias("detected"), F.count_if(~F.col("detected")).alias("missed"), F.count("*").alias("total")]
-    by_object = own.groupingSets([["method"], ["method", "distance_bin"]], "method", "distance_bin").agg(F.grouping("distance_bin").alias("g"), *cell)
-    whole = by_object.select("method", F.when(F.col("g") == 1, "overall").otherwise("bin").alias("slice"), F.lit(None).cast("string").alias("category"), "distance_bin", "detected", "missed", "total").where("slice = 'overall' or distance_bin <> 'Unknown'")
-    labels = own.withColumn("category", F.explode("categories"))
-    by_label = labels.groupingSets([["method", "category"], ["method", "category", "distance_bin"]], "method", "category", "distance_bin").agg(F.grouping("distance_bin").alias("g"), *cell)
-    split = by_label.select("method", F.when(F.col("g") == 1, "category").otherwise("category_bin").alias("slice"), "category", "distance_bin", "detected", "missed", "total")
-    return whole.unionByName(split).withColumn("recall", F.try_divide("detected", "total"))
+    kind = "struct<whole:boolean,category:string>"
+    cells = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("categories", F.array().cast("array<string>")))
+    own = results.select("method", "detected", distance_bin(F.col("distance_steps")).alias("distance_bin"), F.explode(F.transform(cells, lambda c, i: F.struct((i == 0).alias("whole"), c.alias("category")).cast(kind))).alias("cell"))
+    own = own.select("method", "detected", "distance_bin", "cell.whole", "cell.category")
+    sums = [F.count_if("detected").alias("detected"), F.count_if(~F.col("detected")).alias("missed"), F.count("*").alias("total")]
+    keys = ["method", "whole", "category"]
+    found = own.groupingSets([keys, [*keys, "distance_bin"]], *keys, "distance_bin").agg(F.grouping("distance_bin").alias("g"), *sums)
+    name = F.when(F.col("whole"), F.when(F.col("g") == 1, "overall").otherwise("bin")).otherwise(F.when(F.col("g") == 1, "category").otherwise("category_bin"))
+    tidy = found.select("method", name.alias("slice"), "category", "distance_bin", "detected", "missed", "total")
+    return tidy.where("slice <> 'bin' or distance_bin <> 'Unknown'").withColumn("recall", F.try_divide("detected", "total"))
 
 
 def recall_deltas(slices: DataFrame, first: str, second: str) -> DataFrame:

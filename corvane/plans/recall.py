@@ -18,7 +18,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def results(spark: SparkSession, sf_dir: str, profile: str = "strict") -> DataFrame:
     gt, pred = sides(spark, sf_dir)
-    return m.object_results(gt, pred, m.rule_matches(gt, pred, profile))
+    return m.matched_results(gt, pred, profile)
 
 
 _CELL = "count_if(detected) AS detected, count_if(NOT detected) AS missed, count(*) AS total"
