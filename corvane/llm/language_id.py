@@ -2,7 +2,7 @@
 
 The weights are learned by follow-the-regularised-leader with elastic-net
 penalties, which leaves most of them at zero, and the probabilities are then
-calibrated by one temperature.
+calibrated by one temperature on held-out texts, whole and cut short.
 
 The probabilities only compare the learned languages.  Whether a text is in any
 of them is told by its margin: what its n-grams alone, without the bias, say for
@@ -31,6 +31,8 @@ BITS = 15
 FIT_DOCUMENTS = 1500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
+#: Probabilities are never made sharper than by this temperature.
+LEAST_TEMPERATURE = 0.1
 UNKNOWN = "und"
 #: Margins are judged apart for texts of so many characters up to the next number; below the first they tell nothing.
 SIZES = (8, 16, 32, 64, 128, 256)
@@ -113,8 +115,24 @@ def follow_the_leader(model: Model, examples: list[tuple[int, np.ndarray, np.nda
     model.weights = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
+def snippets(examples: list[tuple[int, np.ndarray, np.ndarray]], heads: list[str], model: Model) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Examples from the first characters of held-out texts, cut to each of SIZES, with a letter."""
+    out, letter = [], _letter()
+    for (label, _, _), head in zip(examples, heads, strict=True):
+        for size in SIZES:
+            if size < len(head) and letter.search(head[:size]):
+                which, counts = features(head[:size])
+                out.append((label, which, model.vector(which, counts)))
+    return out
+
+
 def calibrate(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-    """Sets the temperature that gives held-out examples the least log loss."""
+    """Sets the temperature that gives held-out examples the least log loss.
+
+    Whole texts alone are told apart without a fault, so that any low
+    temperature would fit; short ones, of which some are wrong, make it
+    meaningful.  It is never below LEAST_TEMPERATURE.
+    """
     if not examples:
         return
     scores = np.array([model.logits(which, values) for _, which, values in examples])
@@ -125,7 +143,7 @@ def calibrate(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]])
         z = z - z.max(axis=1, keepdims=True)
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(labels)), labels]).mean())
 
-    low, high, ratio = math.log(0.02), math.log(20.0), (math.sqrt(5) - 1) / 2
+    low, high, ratio = math.log(LEAST_TEMPERATURE), math.log(20.0), (math.sqrt(5) - 1) / 2
     for _ in range(40):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
@@ -231,8 +249,9 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_docu
         which, counts = (x[ends[i] : ends[i + 1]] for x in flat)
         ready[at % 5 == 0].append((number[name], which, model.vector(which, counts)))
     follow_the_leader(model, ready[0] or ready[1])
-    calibrate(model, ready[1])
-    set_limits(model, ready[1], [x for x in examples["head"].to_pylist() if x is not None])
+    heads = [x for x in examples["head"].to_pylist() if x is not None]
+    calibrate(model, ready[1] + snippets(ready[1], heads, model))
+    set_limits(model, ready[1], heads)
     return model
 
 

@@ -56,9 +56,9 @@ def _op10() -> str:
     ranked = sorted(u.RULES, key=lambda rule: -len(rule[1] + rule[2]))
     fits = lambda rule: f"(host = '{rule[1]}' OR ends_with(host, '.{rule[1]}')) AND starts_with(path, '{rule[2]}')"
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ranked) + " END"
-    found = lambda terms: "list_filter([" + ", ".join(f"'{t}'" for t in terms) + "], lambda t: regexp_matches(host || ' ' || lower(path), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])'))"
+    found = lambda terms: "list_filter([" + ", ".join(f"'{t}'" for t in terms) + "], lambda t: regexp_matches(whole, '(^|[^\\p{L}\\p{N}])' || t || '($|[^\\p{L}\\p{N}])'))"
     return rf"""
-WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, lower(url_decode(coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), ''))) AS whole FROM pages)
 SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN len({found(u.STRICT_TERMS)}) > 0 OR len({found(u.SOFT_TERMS)}) >= {u.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """
 

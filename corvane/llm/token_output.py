@@ -123,7 +123,7 @@ class WordCoder:
         """Start, end and word number of the parts of words: plain letters are cut off from the punctuation that ends a word."""
         starts, ends, numbers = ends[:-1], ends[1:], np.arange(len(ends) - 1)
         places = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
-        codes = data if len(places) == len(data) else np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        codes = data.astype(np.uint32) if len(places) == len(data) else np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
         kinds = _KINDS[np.minimum(codes, len(_KINDS) - 1)]
         letters, after = (np.concatenate(([0], np.cumsum(kinds == kind, dtype=np.int32))) for kind in (1, 2))
         places = np.append(places, len(data))

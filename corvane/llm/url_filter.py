@@ -1,14 +1,15 @@
 """URL filter: host and path rules, then a weighted vocabulary of terms.
 
 Rules name a host and the start of a path; the longest that fits decides.  For
-other URLs an Aho-Corasick automaton over the host and the path counts terms
-that stand alone between characters other than a-z and 0-9: one strict term, or
-several distinct soft terms, block the URL.
+other URLs an Aho-Corasick automaton over all that follows :// counts terms that
+stand alone between characters other than letters and digits: one strict term,
+or several distinct soft terms, weigh enough to block the URL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,11 +17,22 @@ from pyspark.sql import functions as F
 
 from corvane.llm.textkit import batches_of
 
-# Terms of unwanted sites, strict ones and soft ones.
-STRICT_TERMS = ("adult", "casino", "porn", "xxx", "escort", "spam", "malware", "phishing", "warez", "viagra")
-SOFT_TERMS = ("ads", "bets", "bonus", "cheap", "click", "dating", "free", "loans", "pills", "poker", "replica", "track", "win", "winner")
-#: So many distinct soft terms block a URL.
-SOFT_LIMIT = 2
+# Terms of unwanted sites in several languages, strict ones and soft ones.
+STRICT_TERMS = (
+    "adult", "bukkake", "camgirl", "camgirls", "casino", "casinos", "erotik", "erotique", "escort", "escorts", "fetish", "hardcore", "hentai", "keygen",
+    "malware", "milf", "nsfw", "onlyfans", "phishing", "porn", "porno", "pornografia", "pornographie", "rape", "sex", "sexe", "sexo", "slut", "spam",
+    "spyware", "torrents", "viagra", "cialis", "warez", "webcamsex", "xvideos", "xxx",
+)
+SOFT_TERMS = (
+    "ads", "amateur", "apuestas", "babes", "bet", "bets", "betting", "bonus", "cheap", "chicas", "click", "clickbait", "clicks", "coupon", "crack", "credit",
+    "dating", "deals", "discount", "filles", "forex", "free", "frauen", "gambling", "geld", "girls", "gratis", "gratuit", "hot", "jackpot", "kredit",
+    "loan", "loans", "lotto", "maedchen", "miracle", "money", "nackt", "nude", "paris-sportifs", "payday", "pharmacy", "pills", "poker", "promo", "referral",
+    "replica", "rencontre", "roulette", "sexy", "singles", "slots", "spielautomaten", "swingers", "teen", "teens", "torrent", "track", "viagra-online",
+    "weightloss", "win", "winner", "wetten",
+)
+#: What a strict and a soft term weigh; distinct terms of this weight in all block a URL.
+STRICT_WEIGHT, SOFT_WEIGHT, LIMIT = 2, 1, 2
+SOFT_LIMIT = LIMIT // SOFT_WEIGHT
 #: (verdict, host, start of path) of the registered query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -48,55 +60,62 @@ def rule_verdict(host: Column, path: Column, rules: Iterable[tuple[str, str, str
     return found
 
 
-def term_hits(strict: Iterable[str], soft: Iterable[str]):
-    """An Arrow function that adds the distinct strict and soft terms of host and path."""
-    kinds = {term: 0 for term in strict} | {term: 1 for term in soft if term not in set(strict)}
+def weights_of(strict: Iterable[str], soft: Iterable[str]) -> dict[str, int]:
+    """The vocabulary: a weight for each term; one strict term weighs as much as blocks a URL."""
+    return {term: SOFT_WEIGHT for term in soft} | {term: STRICT_WEIGHT for term in strict}
+
+
+def term_hits(weights: dict[str, int]):
+    """An Arrow function that counts the terms of URLs: strict_terms, soft_terms (distinct), n_terms (all hits) and weight.
+
+    A URL is read from after :// to its end, decoded from percent signs, in
+    lower case.  A term counts where no letter or digit stands beside it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for term in kinds:
+        for term in weights:
             automaton.add_word(term, term)
-        automaton.make_automaton()
-        alone = lambda text, at: not (0 <= at < len(text) and text[at].isascii() and text[at].isalnum())
+        if weights:
+            automaton.make_automaton()
+        alone = lambda text, at: not (0 <= at < len(text) and text[at].isalnum())
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for host, path in zip(batch.column("_host").to_pylist(), batch.column("_path").to_pylist(), strict=True):
-                text = f"{host or ''} {(path or '').lower()}"
-                found: tuple[set, set] = (set(), set())
-                if kinds:
-                    for end, term in automaton.iter(text):
-                        if alone(text, end - len(term)) and alone(text, end + 1):
-                            found[kinds[term]].add(term)
-                out[0].append(sorted(found[0]))
-                out[1].append(sorted(found[1]))
-            kept = [batch.column(i) for i in range(batch.num_columns)]
-            terms = [pa.array(x, pa.list_(pa.string())) for x in out]
-            yield pa.RecordBatch.from_arrays([*kept, *terms], names=[*batch.schema.names, "strict_terms", "soft_terms"])
+            out: list[tuple] = []
+            for url in batch.column("_url").to_pylist():
+                text = unquote((url or "").partition("://")[2]).lower()
+                hits = [term for end, term in automaton.iter(text) if alone(text, end - len(term)) and alone(text, end + 1)] if weights else []
+                found = sorted(set(hits))
+                out.append(([t for t in found if weights[t] >= STRICT_WEIGHT], [t for t in found if weights[t] < STRICT_WEIGHT], len(hits), sum(weights[t] for t in found)))
+            kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.int64())
+            kept = [batch.column(c) for c in ("_key", "_host", "_path")]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]], names=["_key", "_host", "_path", "strict_terms", "soft_terms", "n_terms", "weight"])
 
     return run
 
 
-def url_filter(pages: DataFrame, *, url: str = "url", key: str = "page_id", rules=RULES, strict=STRICT_TERMS, soft=SOFT_TERMS, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """One row for each row of pages: key, host, path, rule, verdict, strict_terms, soft_terms.
+def url_filter(pages: DataFrame, *, url: str = "url", key: str = "page_id", rules=RULES, strict=STRICT_TERMS, soft=SOFT_TERMS, limit: int = LIMIT) -> DataFrame:
+    """One row for each row of pages: key, host, path, rule, verdict, strict_terms, soft_terms, n_terms, weight.
 
     Only the two named columns are read, whatever others there are.  A null URL
     or one without :// has an empty host and path, fits no rule and has no
     terms, so it is allowed.  Repeated rows each get their row; an empty table
     gives none.
     """
-    parts = pages.select(F.col(key), url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path"))
-    kind = dict(parts.dtypes)[key]
-    found = batches_of(parts, term_hits(strict, soft), f"`{key}` {kind}, _host string, _path string, strict_terms array<string>, soft_terms array<string>")
+    parts = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path"))
+    kind = dict(parts.dtypes)["_key"]
+    found = batches_of(parts, term_hits(weights_of(strict, soft)), f"_key {kind}, _host string, _path string, strict_terms array<string>, soft_terms array<string>, n_terms bigint, weight bigint")
     chosen = rule_verdict(F.col("_host"), F.col("_path"), rules) if rules else F.lit(None).cast("struct<verdict:string,rule:string>")
-    by_terms = F.when((F.size("strict_terms") > 0) | (F.size("soft_terms") >= soft_limit), "block").otherwise("allow")
+    by_terms = F.when(F.col("weight") >= limit, "block").otherwise("allow")
     return found.withColumn("_chosen", chosen).select(
-        key,
+        F.col("_key").alias(key),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.col("_chosen.rule").alias("rule"),
         F.coalesce(F.col("_chosen.verdict"), by_terms).alias("verdict"),
         "strict_terms",
         "soft_terms",
+        "n_terms",
+        "weight",
     )
