@@ -174,43 +174,34 @@ def _start(bucket: _Bucket) -> tuple[np.ndarray, np.ndarray]:
     return tables, np.where(above > 0, np.ceil(above**ROOT_DISCOUNT), 0)
 
 
-def _sweeps(bucket: _Bucket, totals: dict, rng: np.random.Generator, sweeps: int):
+def _sweeps(bucket: _Bucket, totals: dict, sweeps: int):
     """Gibbs sweeps over a bucket; yields the state after each one.
 
-    totals are those of all buckets from the round before; this bucket's part
-    follows its own changes.
+    Each sweep seats all dishes given the totals of the round before, of all
+    buckets alike, with draws that belong to the words: how words are dealt out
+    over buckets changes nothing.
     """
     tables, root_tables = (x.copy() for x in _start(bucket))
     if totals["state"]:
-        tables, root_tables = _replayed(bucket, totals, rng)
-    first, first_root = np.bincount(bucket.context, tables, CLASSES), root_tables.sum()
-    first_customers = tables.sum()
+        for step in _sweeps(bucket, totals["state"], FIRST_SWEEPS):
+            tables, root_tables = step[0].copy(), step[1].copy()
     many, seen_words = bucket.many, np.flatnonzero(bucket.counts > 0)
+    pair_draws = py.Draws(mixed(bucket.words[bucket.word[many]]) + bucket.context[many].astype(np.uint64), totals["seed"])
+    word_draws = py.Draws(bucket.words[seen_words], totals["seed"])
+    all_tables, all_above, all_root = np.maximum(totals["tables"], 1), totals["tables"].sum(), max(1.0, totals["root_tables"])
     for _ in range(sweeps):
-        all_tables = np.maximum(totals["tables"] + np.bincount(bucket.context, tables, CLASSES) - first, 1)
         customers_above = np.bincount(bucket.word, tables, len(bucket.words))
-        all_above = totals["tables"].sum() + tables.sum() - first_customers
-        all_root = max(1.0, totals["root_tables"] + root_tables.sum() - first_root)
         root = py.predictive(customers_above, root_tables, all_above, all_root, 1 / (totals["words"] + 1), ROOT_STRENGTH, ROOT_DISCOUNT)
         if len(many):
             others = np.maximum(all_tables[bucket.context[many]] - tables[many], 0)
-            tables[many] = py.reseat(bucket.customers[many], tables[many], others, root[bucket.word[many]], STRENGTH, DISCOUNT, rng)
+            tables[many] = py.reseat(bucket.customers[many], tables[many], others, np.maximum(root[bucket.word[many]], 1e-300), STRENGTH, DISCOUNT, pair_draws)
         customers_above = np.bincount(bucket.word, tables, len(bucket.words))
         if len(seen_words):
             others = np.maximum(all_root - root_tables[seen_words], 0)
-            root_tables[seen_words] = py.reseat(customers_above[seen_words], root_tables[seen_words], others, np.full(len(seen_words), 1 / (totals["words"] + 1)), ROOT_STRENGTH, ROOT_DISCOUNT, rng)
+            root_tables[seen_words] = py.reseat(customers_above[seen_words], root_tables[seen_words], others, np.full(len(seen_words), 1 / (totals["words"] + 1)), ROOT_STRENGTH, ROOT_DISCOUNT, word_draws)
         yield tables, root_tables, all_tables, all_above, all_root, customers_above
 
 
-def _replayed(bucket: _Bucket, totals: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Tables near those that the round before ended with: as many sweeps from the same start and seed."""
-    before = totals["state"]
-    state = _start(bucket)
-    for step in _sweeps(bucket, before, np.random.default_rng(before["seed"] + [int(bucket.words[0]) & 0xFFFFFFFF]), FIRST_SWEEPS):
-        state = step[:2]
-    return state[0].copy(), state[1].copy()
-
-
 def _round(totals: dict | None):
     """Totals of a bucket as rows (kind, key, value): before any seating (None), or after the first sweeps."""
 
@@ -220,7 +211,7 @@ def _round(totals: dict | None):
             return
         tables, root_tables = _start(bucket)
         if totals is not None:
-            for step in _sweeps(bucket, totals, np.random.default_rng(totals["seed"] + [int(bucket.words[0]) & 0xFFFFFFFF]), FIRST_SWEEPS):
+            for step in _sweeps(bucket, totals, FIRST_SWEEPS):
                 tables, root_tables = step[:2]
         out = [("words", 0, float((bucket.counts > 0).sum())), ("root_tables", 0, float(root_tables.sum()))]
         for kind, sums in (("customers", np.bincount(bucket.context, bucket.customers, CLASSES)), ("tables", np.bincount(bucket.context, tables, CLASSES))):
@@ -233,7 +224,7 @@ def _round(totals: dict | None):
 def _summed(pairs: DataFrame, totals: dict | None, seed: int) -> dict:
     """The totals over all buckets; at most 2 * CLASSES + 2 numbers."""
     found = pairs.mapInArrow(_round(totals), "kind string, key bigint, value double").groupBy("kind", "key").agg(F.sum("value").alias("value")).collect()
-    out: dict = {"words": 0.0, "root_tables": 0.0, "customers": np.zeros(CLASSES), "tables": np.zeros(CLASSES), "seed": [seed], "state": totals}
+    out: dict = {"words": 0.0, "root_tables": 0.0, "customers": np.zeros(CLASSES), "tables": np.zeros(CLASSES), "seed": seed, "state": totals}
     for r in found:
         if r.kind in ("words", "root_tables"):
             out[r.kind] = r.value
@@ -251,7 +242,7 @@ def _answers(totals: dict):
             return
         mean = np.zeros(len(bucket.word))
         room = totals["customers"][bucket.context]
-        for at, (tables, root_tables, all_tables, all_above, all_root, above) in enumerate(_sweeps(bucket, totals, np.random.default_rng(totals["seed"] + [int(bucket.words[0]) & 0xFFFFFFFF]), BURN_IN + SAMPLES)):
+        for at, (tables, root_tables, all_tables, all_above, all_root, above) in enumerate(_sweeps(bucket, totals, BURN_IN + SAMPLES)):
             if at >= BURN_IN:
                 root = py.predictive(above, root_tables, all_above, all_root, 1 / (totals["words"] + 1), ROOT_STRENGTH, ROOT_DISCOUNT)
                 own = np.where(room > 0, all_tables[bucket.context], 0)

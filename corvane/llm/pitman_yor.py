@@ -11,8 +11,55 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Customers seated one by one; further ones in groups that grow with those seated.
-SINGLE = 48
+from corvane.llm.textkit import mixed
+
+#: Customers are seated in groups of this share of those seated, of one at least.
+GROUP = 1 / 16
+#: A group's new tables are drawn in parts of so many expected ones.
+PART_MEAN = 40
+#: The group number of the draws that accept proposals.
+_ACCEPT = -1
+
+
+class Draws:
+    """Uniform draws that belong to keys: equal keys get equal draws, however they are dealt out over tasks."""
+
+    def __init__(self, keys: np.ndarray, seed: int):
+        self.keys, self.sweep = mixed(keys.astype(np.uint64) + self._step(seed, 0x9E3779B97F4A7C15)), 0
+
+    @staticmethod
+    def _step(number: int, factor: int) -> np.uint64:
+        return np.uint64(number * factor % 2**64)
+
+    def __call__(self, which: np.ndarray | slice, group: int, part: int) -> np.ndarray:
+        """Draws between 0 and 1 for some keys, one for each sweep, group and part."""
+        at = self._step(self.sweep, 0xD1B54A32D192ED03) ^ self._step(group + 1, 0xA24BAED4963EE407) ^ self._step(part + 1, 0x8CB92BA72F3D8DD7)
+        return ((mixed(self.keys[which] + at) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+    def binomial(self, size: np.ndarray, chance: np.ndarray, which: np.ndarray, group: int) -> np.ndarray:
+        """Binomial draws by inversion, in parts of PART_MEAN expected ones, whose least chances are numbers still."""
+        parts = np.maximum(1, np.ceil(size * chance / PART_MEAN)).astype(np.int64)
+        out, rest = np.zeros(len(size)), size.astype(np.int64)
+        for part in range(int(parts.max(initial=0))):
+            on = np.flatnonzero(parts > part)
+            own = rest[on] // (parts[on] - part)
+            rest[on] -= own
+            out[on] += self._inverted(own, chance[on], self(which[on], group, part))
+        return out
+
+    @staticmethod
+    def _inverted(size: np.ndarray, chance: np.ndarray, u: np.ndarray) -> np.ndarray:
+        chance = np.minimum(chance, 1 - 1e-12)
+        term, odds = np.exp(size * np.log1p(-chance)), chance / (1 - chance)
+        out, total = np.zeros(len(size)), term.copy()
+        active = np.flatnonzero((u > total) & (size > 0))
+        while len(active):
+            k = out[active]
+            term[active] *= odds[active] * (size[active] - k) / (k + 1)
+            out[active] += 1
+            total[active] += term[active]
+            active = active[(u[active] > total[active]) & (out[active] < size[active])]
+        return out
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -25,37 +72,34 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables after so many customers (one at least) in one-dish restaurants of given strengths."""
-    order = np.argsort(-customers, kind="stable")
-    c, a = customers[order], strength[order]
-    tables, seated = np.ones(len(c)), 1
-    while left := int(np.searchsorted(-c, -seated, side="left")):  # those with more customers
-        group = 1 if seated < SINGLE else max(1, seated // 8)
-        size = np.minimum(group, c[:left] - seated)
-        if group == 1:
-            tables[:left] += rng.random(left) < (a[:left] + discount * tables[:left]) / (a[:left] + seated)
-        else:
-            mean = (a[:left] + discount * tables[:left]) * np.log((a[:left] + seated + size) / (a[:left] + seated))
-            tables[:left] += np.minimum(rng.poisson(mean), size)
-        seated += group
-    out = np.empty(len(c))
-    out[order] = tables
-    return out
-
-
-def reseat(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, above: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+def seat(customers: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) -> np.ndarray:
+    """Numbers of tables after so many customers (one at least) in one-dish restaurants of given strengths.
+
+    One rule serves all numbers: each step seats a group, a fixed share of those
+    seated already; within it the chance of a new table is that of its middle.
+    """
+    tables, seated, number = np.ones(len(customers)), 1, 0
+    left = np.flatnonzero(customers > seated)
+    while len(left):
+        group = max(1, int(seated * GROUP))
+        size = np.minimum(group, customers[left] - seated)
+        chance = np.clip((strength[left] + discount * tables[left]) / (strength[left] + seated + (size - 1) / 2), 0.0, 1.0)
+        tables[left] += draws.binomial(size, chance, left, number)
+        seated, number = seated + group, number + 1
+        left = left[customers[left] > seated]
+    return tables
+
+
+def reseat(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, above: np.ndarray, strength: float, discount: float, draws: Draws) -> np.ndarray:
     """Draws the tables of dishes: others are the tables of the other dishes of each one's restaurant, above the parent's probabilities."""
     a = above * (strength + discount * others)
-    proposed = seat(customers, a, discount, rng)
+    proposed = seat(customers, a, discount, draws)
     current = np.minimum(tables, customers)
     weight = lambda t: t * np.log(above) + lgamma(a / (above * discount) + t) - lgamma(a / discount + t)
-    moved = proposed != current
-    ratio = np.zeros(len(current))
-    part = lambda x: x[moved]
-    a, above = a[moved], above[moved]
-    ratio[moved] = weight(part(proposed)) - weight(part(current))
-    return np.where(np.log(rng.random(len(current))) < ratio, proposed, current)
+    ratio = np.where(proposed != current, weight(proposed) - weight(current), 0.0)
+    accept = draws(slice(None), _ACCEPT, 0)
+    draws.sweep += 1
+    return np.where(np.log(accept) < ratio, proposed, current)
 
 
 def predictive(customers: np.ndarray, tables: np.ndarray, all_customers, all_tables, above: np.ndarray, strength: float, discount: float) -> np.ndarray:

@@ -5,15 +5,16 @@ its phrases (shorter runs of words) by the least hash, so equal windows name
 equal phrases, and neighbouring windows mostly the same one; the words that a
 run of such windows covers are a passage.
 
-1. Every document yields the phrases it names, as text, each with a digest and
-   the measures of its passage.  Phrases that two documents name are confirmed;
-   of their passages, those that an earlier document has are repeated as a whole.
-2. Documents are dealt out with the confirmed phrases that concern them.  Each
+1. Every document yields digests of the phrases it names and of the passages
+   around them.  Phrases that two documents name are confirmed; of their
+   passages, those that an earlier document has are repeated as a whole.
+2. The first document of each confirmed passage tells its phrase, as text, and
+   the passage's measures.  Where a phrase stands in several passages, it tells
+   the passage's windows too, which are compared one by one over all documents.
+3. Documents are dealt out with the confirmed phrases that concern them.  Each
    shard of documents compiles these phrases into an Aho-Corasick automaton and
    streams all its texts through it.  A hit places a passage, whose digest is
    then compared.
-3. Where a phrase stands in several passages, the windows of each passage are
-   compared one by one over all documents, once for each passage.
 
 What the automaton doesn't find is not removed: there is no other way from a
 confirmed phrase to its place in a text.
@@ -92,15 +93,19 @@ def passages(texts: Texts, window: int, phrase: int) -> tuple[np.ndarray, np.nda
     return first, last + window, place
 
 
+def _columns(*digests: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(d[:, i])) for d in digests for i in (0, 1)]
+
+
 def _phrase_rows(window: int, phrase: int):
+    """Digests of the phrases that each text names and of their passages."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
             texts = Texts(data, offsets)
             start, stop, place = passages(texts, window, phrase)
-            digests = _digests(texts, start, stop)
-            phrases = [texts.raw[a:b].decode() for a, b in zip(texts.places[place].tolist(), texts.stops[place + phrase - 1].tolist(), strict=True)]
-            numbers = [digests[:, 0], digests[:, 1], (place - start).astype(np.int32), (stop - start).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(texts.numbers[start])), pa.array(phrases, pa.string()), *[pa.array(np.ascontiguousarray(x)) for x in numbers]], names=["id", "phrase", "p1", "p2", "before", "length"])
+            owners = rows.column(0).take(pa.array(texts.numbers[start]))
+            yield pa.RecordBatch.from_arrays([owners, *_columns(_digests(texts, place, place + phrase), _digests(texts, start, stop))], names=["id", "h1", "h2", "p1", "p2"])
 
     return run
 
@@ -146,19 +151,30 @@ def _spots(column: pa.Array) -> dict[tuple[int, str], list[tuple]]:
     return out
 
 
-def _doubtful_windows(window: int, phrase: int):
-    """Digests of the windows of passages that must be compared window by window."""
+def _told(window: int, phrase: int, windows: bool):
+    """What the first documents of passages tell: each passage's phrase and measures, or the digests of windows to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = (b.filter(pc.fill_null(b.column(b.schema.get_field_index("doubtful")), False)) for b in batches)
+        some = (b.filter(pc.is_valid(b.column(b.schema.get_field_index("owned")))) for b in batches)
         for rows, data, offsets in slices(some):
             texts = Texts(data, offsets)
-            spots = {k: left for k, own in _spots(rows.column(rows.schema.get_field_index("spots"))).items() if (left := [s for s in own if not s[4]])}
-            found = [np.arange(a, b - window + 1) for a, b, _ in located(texts, spots, phrase)]
-            at = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-            digests = _digests(texts, at, at + window)
-            table = pa.table({"n": texts.numbers[at], "w1": np.ascontiguousarray(digests[:, 0]), "w2": np.ascontiguousarray(digests[:, 1])}).group_by(["n", "w1", "w2"]).aggregate([]).combine_chunks()
-            yield from pa.table({"id": rows.column(0).take(table["n"]), "w1": table["w1"], "w2": table["w2"]}).to_batches()
+            start, stop, place = passages(texts, window, phrase)
+            own = {(n, o["p1"], o["p2"]): o["several"] for n, owned in enumerate(rows.column(rows.schema.get_field_index("owned")).to_pylist()) for o in owned}
+            digests = _digests(texts, start, stop).tolist()
+            found = [own.get((n, *d)) for n, d in zip(texts.numbers[start].tolist(), digests, strict=True)]
+            if windows:
+                runs = [np.arange(a, b - window + 1) for a, b, several in zip(start.tolist(), stop.tolist(), found, strict=True) if several]
+                at = np.unique(np.concatenate(runs)) if runs else np.zeros(0, dtype=np.int64)
+                w1, w2 = _columns(_digests(texts, at, at + window))
+                table = pa.table({"n": texts.numbers[at], "w1": w1, "w2": w2}).group_by(["n", "w1", "w2"]).aggregate([]).combine_chunks()
+                yield from pa.table({"id": rows.column(0).take(table["n"]), "w1": table["w1"], "w2": table["w2"]}).to_batches()
+                continue
+            told: dict[tuple, tuple] = {}
+            for a, b, p, d, several in zip(start.tolist(), stop.tolist(), place.tolist(), digests, found, strict=True):
+                if several is not None:
+                    told[tuple(d)] = (*d, texts.words(p, p + phrase).decode(), p - a, b - a)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in told.values()], kind) for i, kind in enumerate(kinds)], names=["p1", "p2", "phrase", "before", "length"])
 
     return run
 
@@ -238,20 +254,24 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     kind = dict(docs.dtypes)[key]
     rows = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    found = batches_of(rows.where("id is not null"), _phrase_rows(window, phrase), f"id {kind}, phrase string, p1 bigint, p2 bigint, before int, length int")
-    named = checkpointed(with_bounds(found, ["phrase"], ["id", "p1", "p2"]).select("id", "phrase", "p1", "p2", "before", "length", ((F.col("low_p1") < F.col("high_p1")) | (F.col("low_p2") < F.col("high_p2"))).alias("several")))
-
-    owned = with_bounds(named, ["p1", "p2"], ["id"]).select("id", "p1", "p2", "low_id").distinct()
-    marks = named.join(owned, ["id", "p1", "p2"], "left").select("id", "phrase", "p1", "p2", "before", "length", F.coalesce(F.col("id") > F.col("low_id"), F.lit(False)).alias("whole"), "several").where("whole or several")
-    lists = checkpointed(marks.groupBy("id").agg(F.collect_set(F.struct("phrase", "p1", "p2", "before", "length", "whole")).alias("spots"), F.bool_or(~F.col("whole")).alias("doubtful")))
-
-    # Both joins below deal out the same columns by the same key, without a filter
+    found = batches_of(rows.where("id is not null"), _phrase_rows(window, phrase), f"id {kind}, h1 bigint, h2 bigint, p1 bigint, p2 bigint")
+    several = (F.col("low_p1") < F.col("high_p1")) | (F.col("low_p2") < F.col("high_p2"))
+    named = checkpointed(with_bounds(found, ["h1", "h2"], ["id", "p1", "p2"]).select("id", "p1", "p2", several.alias("several")))
+    owners = named.groupBy("p1", "p2").agg(F.min("id").alias("id"), F.max("id").alias("high"), F.bool_or("several").alias("several")).where("several or id < high")
+    later = with_bounds(named.select("id", "p1", "p2"), ["p1", "p2"], ["id"]).where("id > low_id").select("id", "p1", "p2", F.lit(True).alias("whole"), F.lit(False).alias("several"))
+    marks = checkpointed(later.unionByName(owners.select("id", "p1", "p2", F.lit(False).alias("whole"), "several")))
+    lists = marks.where(~F.col("whole")).groupBy("id").agg(F.collect_list(F.struct("p1", "p2", "several")).alias("owned"))
+
+    # The joins below deal out the same columns by the same key, without a filter
     # in between, so that Spark shuffles the texts once and reads them again.
     others = [c for c in carry if c not in (key, text)]
     whole = docs.select(docs[key].alias("id"), docs[text].alias("text"), *[docs[c].alias(f"_{c}") for c in others])
-    windows = batches_of(whole.join(lists, "id", "left"), _doubtful_windows(window, phrase), f"id {kind}, w1 bigint, w2 bigint")
+    first = whole.join(lists, "id", "left")
+    windows = batches_of(first, _told(window, phrase, True), f"id {kind}, w1 bigint, w2 bigint")
     single = with_bounds(windows, ["w1", "w2"], ["id"]).where("id > low_id").groupBy("id").agg(F.collect_set(F.struct("w1", "w2")).alias("windows"))
-    dealt = whole.join(lists.select("id", "spots").join(single, "id", "left"), "id", "left")
+    told = batches_of(first, _told(window, phrase, False), "p1 bigint, p2 bigint, phrase string, before int, length int")
+    spots = marks.where("whole or several").join(told, ["p1", "p2"]).groupBy("id").agg(F.collect_set(F.struct("phrase", "p1", "p2", "before", "length", "whole")).alias("spots"))
+    dealt = whole.join(spots.join(single, "id", "left"), "id", "left")
     kinds = dict(docs.dtypes)
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + "".join(f", `_{c}` {kinds[c]}" for c in others) + ", _clean_text string" * with_text
     found = batches_of(dealt, _removals(window, phrase, others, with_text), schema)

@@ -141,15 +141,19 @@ def test_lm_scoring(docs, rows, empty):
         base = sum(np.log10((train[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(train[w] > 0 for w in words), total)
         assert r.base_score == pytest.approx(base) and r.score < 0 and r.perplexity > 1
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs.repartition(5), crc_remainder(F.col("doc_id"), 5) == 1).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert again == pytest.approx({r.doc_id: r.score for r in scores}, rel=1e-6)  # however words are dealt out
     held = [r for r in scores if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lm_scoring.lm_scores(empty, F.lit(False)).count() == 0
 
 
 def test_seating():
-    rng = np.random.default_rng(4)
     for c, a, d in ((1, 1.0, 0.5), (10, 2.0, 0.3), (300, 5.0, 0.6)):
-        many = pitman_yor.seat(np.full(4000, float(c)), np.full(4000, a), d, rng)
+        many = pitman_yor.seat(np.full(4000, float(c)), np.full(4000, a), d, pitman_yor.Draws(np.arange(4000), 4))
         # The expected number of tables follows a recurrence over customers.
         mean = 1.0
         for n in range(1, c):
