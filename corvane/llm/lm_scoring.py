@@ -1,8 +1,9 @@
 """Language-model scores of documents by a hierarchical Pitman-Yor model of words.
 
-A word's context is the class of the word before it: its last two bytes (zeros
-before the first word).  Each class has a restaurant; they all share one parent,
-whose own base is uniform over the learned words and one more, for unknown ones.
+A word's context is the class of the word before it: its hash in one of CLASSES,
+so that frequent words have a class nearly to themselves and rare ones share.
+Each class has a restaurant; they all share one parent, whose own base is uniform
+over the learned words and one more, for unknown ones.
 
 Documents are cut into slices.  A slice sends its distinct pairs of class and
 word to the buckets of the words, where customers are counted, seats are sampled
@@ -26,12 +27,13 @@ from corvane.llm import pitman_yor as py
 from corvane.llm.textkit import batches_of, by_text, checkpointed, lower_ascii, mixed, partitions, text_buffer, word_hashes, word_spans
 
 #: Bytes of text and documents in a slice, at most (a longer text is a slice alone).
-SLICE_BYTES, SLICE_ROWS = 12 << 20, 50_000
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 50_000
 #: Discount and strength of the class restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 5.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 #: Gibbs sweeps of the first round, and in the last one before and for the averages.
 FIRST_SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
+#: Classes of preceding words, whose totals all pass through the driver: a bound on what is broadcast.
 CLASSES = 1 << 16
 #: The end of a text, as a word.
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -41,14 +43,13 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, count: int) -> tuple[np.ndarr
     """Word hash, context class and text number of each token, ends included."""
     data = lower_ascii(data)
     starts, ends, numbers = word_spans(data, offsets)
-    last = data[ends - 1].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    second = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64) if len(ends) else last
-    own = (second << 8) | last
+    words = mixed(word_hashes(data, starts, ends))
+    own = (words & np.uint64(CLASSES - 1)).astype(np.int64)
     edges = by_text(numbers, count)
     at = np.arange(len(numbers)) + numbers  # an end stands after each text's words
     end_at = edges[1:] + np.arange(count)
     hashes, classes = np.empty(len(numbers) + count, np.uint64), np.zeros(len(numbers) + count, np.int64)
-    hashes[at], hashes[end_at] = mixed(word_hashes(data, starts, ends)), _END
+    hashes[at], hashes[end_at] = words, _END
     classes[at + 1] = own
     classes[edges[:-1] + np.arange(count)] = 0
     owners = np.empty(len(hashes), np.int64)
