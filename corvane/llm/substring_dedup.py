@@ -105,7 +105,8 @@ def _phrase_rows(window: int, phrase: int):
             texts = Texts(data, offsets)
             start, stop, place = passages(texts, window, phrase)
             owners = rows.column(0).take(pa.array(texts.numbers[start]))
-            yield pa.RecordBatch.from_arrays([owners, *_columns(_digests(texts, place, place + phrase), _digests(texts, start, stop))], names=["id", "h1", "h2", "p1", "p2"])
+            columns = _columns(_digests(texts, place, place + phrase), _digests(texts, start, stop))
+            yield pa.RecordBatch.from_arrays([owners, *columns[:3]], names=["id", "h1", "h2", "p"])
 
     return run
 
@@ -147,7 +148,7 @@ def _spots(column: pa.Array) -> dict[tuple[int, str], list[tuple]]:
     out: dict[tuple[int, str], list[tuple]] = defaultdict(list)
     for number, own in enumerate(column.to_pylist()):
         for s in own or ():
-            out[number, s["phrase"]].append((s["p1"], s["p2"], s["before"], s["length"], s["whole"]))
+            out[number, s["phrase"]].append((s["p"], s["p2"], s["before"], s["length"], s["whole"]))
     return out
 
 
@@ -159,9 +160,10 @@ def _told(window: int, phrase: int, windows: bool):
         for rows, data, offsets in slices(some):
             texts = Texts(data, offsets)
             start, stop, place = passages(texts, window, phrase)
-            own = {(n, o["p1"], o["p2"]): o["several"] for n, owned in enumerate(rows.column(rows.schema.get_field_index("owned")).to_pylist()) for o in owned}
+            own = {(n, o["h1"], o["p"]): o["several"] for n, owned in enumerate(rows.column(rows.schema.get_field_index("owned")).to_pylist()) for o in owned}
             digests = _digests(texts, start, stop).tolist()
-            found = [own.get((n, *d)) for n, d in zip(texts.numbers[start].tolist(), digests, strict=True)]
+            heads = _digests(texts, place, place + phrase)[:, 0].tolist()
+            found = [own.get((n, h, d[0])) for n, h, d in zip(texts.numbers[start].tolist(), heads, digests, strict=True)]
             if windows:
                 runs = [np.arange(a, b - window + 1) for a, b, several in zip(start.tolist(), stop.tolist(), found, strict=True) if several]
                 at = np.unique(np.concatenate(runs)) if runs else np.zeros(0, dtype=np.int64)
@@ -170,11 +172,11 @@ def _told(window: int, phrase: int, windows: bool):
                 yield from pa.table({"id": rows.column(0).take(table["n"]), "w1": table["w1"], "w2": table["w2"]}).to_batches()
                 continue
             told: dict[tuple, tuple] = {}
-            for a, b, p, d, several in zip(start.tolist(), stop.tolist(), place.tolist(), digests, found, strict=True):
+            for a, b, p, h, d, several in zip(start.tolist(), stop.tolist(), place.tolist(), heads, digests, found, strict=True):
                 if several is not None:
-                    told[tuple(d)] = (*d, texts.words(p, p + phrase).decode(), p - a, b - a)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in told.values()], kind) for i, kind in enumerate(kinds)], names=["p1", "p2", "phrase", "before", "length"])
+                    told[h, d[0]] = (h, *d, texts.words(p, p + phrase).decode(), p - a, b - a)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in told.values()], kind) for i, kind in enumerate(kinds)], names=["h1", "p", "p2", "phrase", "before", "length"])
 
     return run
 
@@ -229,16 +231,18 @@ def _removals(window: int, phrase: int, carried: list[str], with_text: bool):
 
 
 def with_bounds(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Rows whose key has another value than theirs, with the least (low_) and the greatest (high_) of each value for the key.
+    """Rows with the least (low_) and the greatest (high_) of each value for their key; only keys with two different ids are returned.
 
-    Rows are pre-aggregated by key and a salt from their id, then by key, and
-    joined by key and salt, so that a key of very many rows fills no task.
-    Only keys with two different values of the first one are returned.
+    The bounds are pre-aggregated before they are shuffled.  To be joined with
+    the rows they are repeated for those of SALTS salts, taken from the ids,
+    that the key's rows have: a key of very many rows fills no task.  rows has
+    no other columns than id, keys and values, and the join's own filters stand in
+    both branches, so that one shuffle serves both.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartition(*keys, "salt")
-    part = salted.groupBy(*keys, "salt").agg(*[f(v).alias(f"{name}_{v}") for v in values for f, name in ((F.min, "low"), (F.max, "high"))]).repartition(*keys)
-    whole = part.groupBy(*keys).agg(*[f(f"{name}_{v}").alias(f"{name}_{v}") for v in values for f, name in ((F.min, "low"), (F.max, "high"))]).where(F.col(f"low_{values[0]}") < F.col(f"high_{values[0]}"))
-    return salted.join(part.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).where(" and ".join(f"{c} is not null" for c in [*keys, "salt"])).repartition(*keys, "salt")
+    bounds = salted.groupBy(*keys).agg(*[f(v).alias(f"{name}_{v}") for v in values for f, name in ((F.min, "low"), (F.max, "high"))], F.bit_or(F.expr("shiftleft(1, salt)")).alias("salts")).where("low_id < high_id")
+    dealt = bounds.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1), s)) != 0))).drop("salts")
+    return salted.join(dealt, [*keys, "salt"]).drop("salt")
 
 
 def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, carry: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
@@ -254,13 +258,13 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     kind = dict(docs.dtypes)[key]
     rows = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    found = batches_of(rows.where("id is not null"), _phrase_rows(window, phrase), f"id {kind}, h1 bigint, h2 bigint, p1 bigint, p2 bigint")
-    several = (F.col("low_p1") < F.col("high_p1")) | (F.col("low_p2") < F.col("high_p2"))
-    named = checkpointed(with_bounds(found, ["h1", "h2"], ["id", "p1", "p2"]).select("id", "p1", "p2", several.alias("several")))
-    owners = named.groupBy("p1", "p2").agg(F.min("id").alias("id"), F.max("id").alias("high"), F.bool_or("several").alias("several")).where("several or id < high")
-    later = with_bounds(named.select("id", "p1", "p2"), ["p1", "p2"], ["id"]).where("id > low_id").select("id", "p1", "p2", F.lit(True).alias("whole"), F.lit(False).alias("several"))
-    marks = checkpointed(later.unionByName(owners.select("id", "p1", "p2", F.lit(False).alias("whole"), "several")))
-    lists = marks.where(~F.col("whole")).groupBy("id").agg(F.collect_list(F.struct("p1", "p2", "several")).alias("owned"))
+    found = batches_of(rows.where("id is not null"), _phrase_rows(window, phrase), f"id {kind}, h1 bigint, h2 bigint, p bigint")
+    named = checkpointed(with_bounds(found, ["h1", "h2"], ["id", "p"]).select("id", "h1", "p", (F.col("low_p") < F.col("high_p")).alias("several")))
+    # A passage goes by the first half of its phrase's digest and of its own, 128 bits in all.
+    owners = named.groupBy("h1", "p").agg(F.min("id").alias("id"), F.max("id").alias("high"), F.bool_or("several").alias("several")).where("several or id < high")
+    later = with_bounds(named.select("id", "h1", "p"), ["h1", "p"], ["id"]).where("id > low_id").select("id", "h1", "p", F.lit(True).alias("whole"), F.lit(False).alias("several"))
+    marks = checkpointed(later.unionByName(owners.select("id", "h1", "p", F.lit(False).alias("whole"), "several")))
+    lists = marks.where(~F.col("whole")).groupBy("id").agg(F.collect_list(F.struct("h1", "p", "several")).alias("owned"))
 
     # The joins below deal out the same columns by the same key, without a filter
     # in between, so that Spark shuffles the texts once and reads them again.
@@ -269,8 +273,8 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first = whole.join(lists, "id", "left")
     windows = batches_of(first, _told(window, phrase, True), f"id {kind}, w1 bigint, w2 bigint")
     single = with_bounds(windows, ["w1", "w2"], ["id"]).where("id > low_id").groupBy("id").agg(F.collect_set(F.struct("w1", "w2")).alias("windows"))
-    told = batches_of(first, _told(window, phrase, False), "p1 bigint, p2 bigint, phrase string, before int, length int")
-    spots = marks.where("whole or several").join(told, ["p1", "p2"]).groupBy("id").agg(F.collect_set(F.struct("phrase", "p1", "p2", "before", "length", "whole")).alias("spots"))
+    told = batches_of(first, _told(window, phrase, False), "h1 bigint, p bigint, p2 bigint, phrase string, before int, length int")
+    spots = marks.where("whole or several").join(told, ["h1", "p"]).groupBy("id").agg(F.collect_set(F.struct("phrase", "p", "p2", "before", "length", "whole")).alias("spots"))
     dealt = whole.join(spots.join(single, "id", "left"), "id", "left")
     kinds = dict(docs.dtypes)
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + "".join(f", `_{c}` {kinds[c]}" for c in others) + ", _clean_text string" * with_text

@@ -101,7 +101,7 @@ def test_automaton_decides(monkeypatch):
     own = substring_dedup.Texts(*text_buffer(text))
     start, stop, place = substring_dedup.passages(own, 50, 8)
     digests = substring_dedup._digests(own, start, stop)
-    spots = [[{"phrase": own.words(p, p + 8).decode(), "p1": int(d[0]), "p2": int(d[1]), "before": int(p - a), "length": int(b - a), "whole": True} for a, b, p, d in zip(start, stop, place, digests, strict=True)]]
+    spots = [[{"phrase": own.words(p, p + 8).decode(), "p": int(d[0]), "p2": int(d[1]), "before": int(p - a), "length": int(b - a), "whole": True} for a, b, p, d in zip(start, stop, place, digests, strict=True)]]
     batch = pa.RecordBatch.from_pydict({"id": [1], "text": text, "spots": spots, "windows": pa.array([None], pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())])))})
     removed = lambda: next(substring_dedup._removals(50, 8, [], False)(iter([batch]))).column(2).to_pylist()
     assert removed() == [72]
