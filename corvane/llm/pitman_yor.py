@@ -15,8 +15,8 @@ from corvane.llm.textkit import mixed
 
 #: Customers are seated in groups of this share of those seated, of one at least.
 GROUP = 1 / 16
-#: A group's new tables are drawn in parts of so many expected ones.
-PART_MEAN = 40
+#: Both ways to draw a group's new tables are exact; inversion serves up to so many expected ones.
+INVERTED_MEAN = 10
 #: The group number of the draws that accept proposals.
 _ACCEPT = -1
 
@@ -37,14 +37,14 @@ class Draws:
         return ((mixed(self.keys[which] + at) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
     def binomial(self, size: np.ndarray, chance: np.ndarray, which: np.ndarray, group: int) -> np.ndarray:
-        """Binomial draws by inversion, in parts of PART_MEAN expected ones, whose least chances are numbers still."""
-        parts = np.maximum(1, np.ceil(size * chance / PART_MEAN)).astype(np.int64)
-        out, rest = np.zeros(len(size)), size.astype(np.int64)
-        for part in range(int(parts.max(initial=0))):
-            on = np.flatnonzero(parts > part)
-            own = rest[on] // (parts[on] - part)
-            rest[on] -= own
-            out[on] += self._inverted(own, chance[on], self(which[on], group, part))
+        """Binomial draws: by inversion for all keys at once where few are expected, else from a generator of the key's own."""
+        many = np.flatnonzero(size * chance > INVERTED_MEAN)
+        few = np.flatnonzero(size * chance <= INVERTED_MEAN)
+        out = np.zeros(len(size))
+        out[few] = self._inverted(size[few], chance[few], self(which[few], group, 0))
+        for at in many.tolist():
+            own = np.random.Philox(key=[int(self.keys[which[at]]), ((self.sweep << 32) | (group + 1)) & (2**64 - 1)])
+            out[at] = np.random.Generator(own).binomial(int(size[at]), float(chance[at]))
         return out
 
     @staticmethod
