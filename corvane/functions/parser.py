@@ -31,7 +31,7 @@ _SAFE = re.compile(
     re.IGNORECASE | re.MULTILINE,
 )
 #: White space as Python's split() has it, for Spark's regular expressions.
-_SPACES = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+_SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _STRICT = rf"^{_SPACES}*<ALERT>([^<]*)</ALERT>{_SPACES}*<GUIDE>([^<]*)</GUIDE>{_SPACES}*$"
 #: What must not stand in a text for the strict reading to be the whole one.
 _NOT_STRICT = rf"(?im)^{_EDGE}(?:[*+-]\s*)?(?:\*\*)?(?:{_NAME})(?:\*\*)?\s*[:=：]|^{_EDGE}SAFE{_EDGE}\r?$"

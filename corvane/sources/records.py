@@ -23,6 +23,24 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return texts.select("source", F.posexplode(cut).alias("n", "line")).select("source", (F.col("n") + 1).alias("line_no"), "line")
 
 
+def csv_manifest(spark: SparkSession, path: str, columns: tuple[str, ...], *, whole: tuple[str, ...] = (), key: tuple[str, ...] = ()) -> DataFrame:
+    """The named columns of CSV files with a header, those of `whole` as whole numbers.
+
+    A byte order mark is dropped.  A missing column raises at once; a value of
+    `whole` that is no whole number raises when the rows are read.  If a key is
+    given, rows that repeat it raise too, which takes one pass over the keys.
+    """
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    number = lambda c: F.when(F.col(c).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"{c} is no whole number: "), F.coalesce(c, F.lit("null")))).cast("bigint"))
+    found = rows.select(*[number(c).alias(c) if c in whole else F.col(c) for c in columns])
+    if key and not (again := found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1)).isEmpty():
+        raise ValueError(f"a key stands more than once: {again.first().asDict()}")
+    return found
+
+
 def _stripped(c: str) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -174,13 +192,12 @@ def conversation_json(records: DataFrame) -> DataFrame:
 
 def create_once(frame: DataFrame, path: str) -> bool:
     """Writes rows as Parquet unless they are there already; raises where others are.  Whether it wrote."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        there = frame.sparkSession.read.schema(frame.schema).parquet(path)
-    except AnalysisException:
+    spark = frame.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         frame.write.mode("errorifexists").parquet(path)
         return True
+    there = spark.read.schema(frame.schema).parquet(path)
     if there.exceptAll(frame).isEmpty() and frame.exceptAll(there).isEmpty():
         return False
     raise ValueError(f"{path} holds other rows")
