@@ -28,6 +28,8 @@ from corvane.llm.textkit import batches_of, by_text, checkpointed, lower_ascii,
 
 #: Bytes of text and documents in a slice, at most (a longer text is a slice alone).
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 50_000
+#: Bytes of a slice whose words are looked up at once.
+PIECE_BYTES = 1 << 20
 #: Discount and strength of the class restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 5.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
@@ -44,19 +46,31 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, count: int) -> tuple[np.ndarr
     data = lower_ascii(data)
     starts, ends, numbers = word_spans(data, offsets)
     words = mixed(word_hashes(data, starts, ends))
-    own = (words & np.uint64(CLASSES - 1)).astype(np.int64)
+    del data, starts, ends
+    own = (words & np.uint64(CLASSES - 1)).astype(np.uint16)
     edges = by_text(numbers, count)
     at = np.arange(len(numbers)) + numbers  # an end stands after each text's words
     end_at = edges[1:] + np.arange(count)
-    hashes, classes = np.empty(len(numbers) + count, np.uint64), np.zeros(len(numbers) + count, np.int64)
+    hashes, classes = np.empty(len(numbers) + count, np.uint64), np.zeros(len(numbers) + count, np.uint16)
     hashes[at], hashes[end_at] = words, _END
     classes[at + 1] = own
     classes[edges[:-1] + np.arange(count)] = 0
-    owners = np.empty(len(hashes), np.int64)
+    owners = np.empty(len(hashes), np.uint16)  # a slice has fewer rows
     owners[at], owners[end_at] = numbers, np.arange(count)
     return hashes, classes, owners
 
 
+def _piecewise(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The tokens of a slice, taken from pieces of PIECE_BYTES (a longer text alone), which bounds what the look-up holds."""
+    found, start, count = [], 0, len(offsets) - 1
+    while start < count:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + PIECE_BYTES, side="right")) - 1)
+        hashes, classes, owners = _tokens(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], end - start)
+        found.append((hashes, classes, owners + np.uint16(start)))
+        start = end
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Slices of whole documents: their rows, text bytes and offsets."""
     held, size, rows = [], 0, 0
@@ -112,19 +126,21 @@ def _slice_rows(buckets: int):
         part, number = TaskContext.get().partitionId(), 0
         for rows, data, offsets in _gathered(batches):
             batch, number = (part << 32) | number, number + 1
-            hashes, classes, owners = _tokens(data, offsets, rows.num_rows)
+            hashes, classes, owners = _piecewise(data, offsets)
+            data = offsets = None
             held = rows["held"].combine_chunks()
             train = ~held.to_numpy(zero_copy_only=False).astype(bool)
             order = np.lexsort((owners, classes, hashes))
             h, c, d = hashes[order], classes[order], owners[order]
+            del order, hashes, classes, owners
             new_word = np.concatenate(([True], h[1:] != h[:-1]))
             new_pair = new_word | np.concatenate(([True], c[1:] != c[:-1]))
             heads = np.flatnonzero(new_pair | np.concatenate(([True], d[1:] != d[:-1])))
-            times = np.diff(np.append(heads, len(h)))
+            times = np.diff(np.append(heads, len(h))).astype(np.uint32)
             d = d[heads]
             pairs = np.flatnonzero(new_pair[heads])  # in occurrences
             words = np.flatnonzero(new_word[heads[pairs]])  # in pairs
-            learned = np.add.reduceat(np.where(train[d], times, 0), pairs)
+            learned = np.add.reduceat(np.where(train[d], times, np.uint32(0)), pairs)
             documents = np.diff(np.append(pairs, len(d)))
             pair_class = c[heads[pairs]]
             word_hash = h[heads[pairs[words]]]
