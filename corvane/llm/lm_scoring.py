@@ -319,7 +319,7 @@ def lm_scores(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: s
     buckets = partitions(spark)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = checkpointed(batches_of(rows, _slice_rows(buckets), _SCHEMA))
-    pairs = checkpointed(cut.where("bucket >= 0").select("batch", "bucket", "n_words", "n_pairs", "payload").repartition(buckets, "bucket"))
+    pairs = checkpointed(cut.where("bucket >= 0").select("batch", "bucket", "n_words", "n_pairs", "payload").repartitionById(buckets, F.col("bucket")))  # a task for each bucket: by hash, some tasks would get several
     totals = _summed(pairs, None, seed)
     train_tokens, words = int(totals["customers"].sum()), totals["words"]
     totals = _summed(pairs, totals, seed + 1)
