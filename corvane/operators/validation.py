@@ -152,11 +152,12 @@ def leaks(prompt: Column, forbidden: Column) -> Column:
 
 def variant_parity(first: DataFrame, second: DataFrame, phrase: str) -> DataFrame:
     """One row: rows on one side only, images that differ, texts with a leaked phrase and answers that differ, by position."""
-    joined = first.alias("f").join(second.alias("s"), "position", "full")
+    side = lambda rows: rows.select("position", "image", "answer", F.col("text").contains(phrase).alias("has_phrase"))
+    joined = side(first).alias("f").join(side(second).alias("s"), "position", "full")
     return joined.agg(
         F.count_if(F.col("f.image").isNull() | F.col("s.image").isNull()).alias("one_sided"),
         F.count_if(F.col("f.image") != F.col("s.image")).alias("other_images"),
-        F.count_if(F.col("f.text").contains(phrase) | F.col("s.text").contains(phrase)).alias("leaked"),
+        F.count_if(F.col("f.has_phrase") | F.col("s.has_phrase")).alias("leaked"),
         F.count_if(F.col("f.answer") != F.col("s.answer")).alias("other_answers"),
     )
 

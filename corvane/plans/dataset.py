@@ -47,12 +47,13 @@ def model_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.unionByName(unknown)
 
 
-@query("""WITH r AS (SELECT o_custkey AS sample_id, o_orderpriority AS raw_text, o_orderkey AS source_index FROM orders), t AS (SELECT c_custkey AS sample_id FROM customer WHERE c_custkey % 10 = 0)
-SELECT t.sample_id, min_by(raw_text, source_index) AS raw_text, count(source_index) AS n, count(DISTINCT raw_text) > 1 AS conflict FROM t JOIN r USING (sample_id) GROUP BY 1""")
+@query("""WITH r AS (SELECT o_custkey AS sample_id, o_orderpriority AS raw_text, o_orderkey AS source_index FROM orders), t AS (SELECT c_custkey AS sample_id FROM customer)
+SELECT t.sample_id, min_by(raw_text, source_index) AS raw_text, count(source_index) AS n, CASE WHEN count(source_index) > 0 THEN count(DISTINCT raw_text) > 1 END AS conflict FROM t LEFT JOIN r USING (sample_id) GROUP BY 1""")
 def target_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = a.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderpriority").alias("raw_text"), F.col("o_orderkey").alias("source_index"))
-    t = a.table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("sample_id"))
-    return m.selected_targets(t, r).where("source_indices is not null").select("sample_id", "raw_text", F.size("source_indices").cast("bigint").alias("n"), "conflict")
+    t = a.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"))
+    n = F.coalesce(F.size("source_indices"), F.lit(0)).cast("bigint")
+    return m.selected_targets(t, r).select("sample_id", "raw_text", n.alias("n"), "conflict")
 
 
 @query("SELECT o_orderkey AS record_index, o_orderstatus AS gt_status, CASE WHEN o_orderkey % 3 = 0 THEN 'O' ELSE o_orderstatus END AS ours_status, o_orderpriority AS few_status FROM orders")

@@ -167,10 +167,10 @@ def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {a.matches_sql('strict')}, free_g AS (SELECT record_index, method, min(object_index) AS gt_index FROM results WHERE NOT detected GROUP BY ALL),
 free_p AS (SELECT record_index, method, min(object_index) AS pred_index FROM pred p WHERE NOT EXISTS (FROM pairs q WHERE q.record_index = p.record_index AND q.method = p.method AND q.pred_index = p.object_index) GROUP BY ALL)
-FROM pairs UNION ALL SELECT record_index, method, gt_index, pred_index, 'decision' FROM free_g JOIN free_p USING (record_index, method) WHERE record_index % 4 = 0""")
+FROM pairs UNION ALL SELECT record_index, method, gt_index, pred_index, 'decision' FROM free_g JOIN free_p USING (record_index, method)""")
 def decision_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, pred = sides(spark, sf_dir)
     pairs = m.rule_matches(gt, pred)
     first = lambda objects, index: m.unmatched(objects, pairs, index).groupBy("record_index", "method").agg(F.min("object_index").alias(index))
-    decisions = first(gt, "gt_index").join(first(pred, "pred_index"), ["record_index", "method"]).where("record_index % 4 = 0")
+    decisions = first(gt, "gt_index").join(first(pred, "pred_index"), ["record_index", "method"])
     return m.decided_matches(gt, pred, pairs, decisions)

@@ -86,11 +86,11 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "customer").select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT doc_id AS position, source AS image, left(text, 50) AS text, lang AS answer FROM documents), s AS (SELECT doc_id AS position, CASE WHEN doc_id % 31 = 0 THEN 'x' ELSE source END AS image, left(text, 50) AS text, CASE WHEN doc_id % 41 = 0 THEN 'x' ELSE lang END AS answer FROM documents WHERE doc_id % 53 <> 0)
-SELECT count_if(f.image IS NULL OR s.image IS NULL) AS one_sided, count_if(f.image <> s.image) AS other_images, count_if(contains(f.text, 'the') OR coalesce(contains(s.text, 'the'), false)) AS leaked, count_if(f.answer <> s.answer) AS other_answers FROM f FULL JOIN s USING (position)""")
+@query("""WITH f AS (SELECT doc_id AS position, source AS image, contains(text, 'the') AS has_phrase, lang AS answer FROM documents), s AS (SELECT doc_id AS position, CASE WHEN doc_id % 31 = 0 THEN 'x' ELSE source END AS image, contains(text, 'the') AS has_phrase, CASE WHEN doc_id % 41 = 0 THEN 'x' ELSE lang END AS answer FROM documents WHERE doc_id % 53 <> 0)
+SELECT count_if(f.image IS NULL OR s.image IS NULL) AS one_sided, count_if(f.image <> s.image) AS other_images, count_if(f.has_phrase OR s.has_phrase) AS leaked, count_if(f.answer <> s.answer) AS other_answers FROM f FULL JOIN s USING (position)""")
 def variant_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    docs = a.table(spark, sf_dir, "documents").withColumn("head", F.left("text", F.lit(50)))
-    first = docs.select(k.alias("position"), F.col("source").alias("image"), F.col("head").alias("text"), F.col("lang").alias("answer"))
-    second = docs.where(k % 53 != 0).select(k.alias("position"), F.when(k % 31 == 0, "x").otherwise(F.col("source")).alias("image"), F.col("head").alias("text"), F.when(k % 41 == 0, "x").otherwise(F.col("lang")).alias("answer"))
+    docs = a.table(spark, sf_dir, "documents")
+    first = docs.select(k.alias("position"), F.col("source").alias("image"), "text", F.col("lang").alias("answer"))
+    second = docs.where(k % 53 != 0).select(k.alias("position"), F.when(k % 31 == 0, "x").otherwise(F.col("source")).alias("image"), "text", F.when(k % 41 == 0, "x").otherwise(F.col("lang")).alias("answer"))
     return v.variant_parity(first, second, "the")
