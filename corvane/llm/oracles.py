@@ -63,4 +63,13 @@ SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({cas
 """
 
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op3_quality_rules": _op3(), "op6_decontaminate": OP6, "op10_url_filter": _op10()}
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents), s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_BENCH_WORDS}) AS t FROM benchmark) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM df, s), room AS (SELECT doc_id, 25 + (75 * len(w) * n) // l AS m FROM d, s),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN weight USING (t) JOIN tf USING (t) JOIN room USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op3_quality_rules": _op3(), "op6_decontaminate": OP6, "op10_url_filter": _op10(), "op11_lexical_search": OP11}

@@ -82,4 +82,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_lm_scoring, op5_simhash, op6_decontaminate, op7_token_output, op8_license_scan, op9_byte_bpe, op10_url_filter)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.lexical_search import lexical_index, lexical_search
+
+    return lexical_search(lexical_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_lm_scoring, op5_simhash, op6_decontaminate, op7_token_output, op8_license_scan, op9_byte_bpe, op10_url_filter, op11_lexical_search)}

@@ -101,6 +101,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             start = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int, rows: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Whole documents of batches with a text column, put together up to so many bytes and rows: (rows, bytes, offsets)."""
+    held, size, count = [], 0, 0
+
+    def flush():
+        table = pa.Table.from_batches(held)
+        return table, *text_buffer(table["text"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            more = pc.sum(pc.binary_length(part["text"])).as_py() or 0
+            if held and (size + more > most or count + part.num_rows > rows):
+                yield flush()
+                held, size, count = [], 0, 0
+            held.append(part)
+            size, count = size + more, count + part.num_rows
+    if held:
+        yield flush()
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
