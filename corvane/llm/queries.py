@@ -88,4 +88,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(lexical_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_lm_scoring, op5_simhash, op6_decontaminate, op7_token_output, op8_license_scan, op9_byte_bpe, op10_url_filter, op11_lexical_search)}
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality_classifier import quality_scores
+    from corvane.llm.textkit import crc_remainder
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 5) == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_lm_scoring, op5_simhash, op6_decontaminate, op7_token_output, op8_license_scan, op9_byte_bpe, op10_url_filter, op11_lexical_search, op12_quality_classifier)}
