@@ -95,4 +95,12 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_lm_scoring, op5_simhash, op6_decontaminate, op7_token_output, op8_license_scan, op9_byte_bpe, op10_url_filter, op11_lexical_search, op12_quality_classifier)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.token_alignment import token_alignment
+
+    return token_alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_quality_rules, op4_lm_scoring, op5_simhash, op6_decontaminate, op7_token_output, op8_license_scan, op9_byte_bpe, op10_url_filter, op11_lexical_search, op12_quality_classifier, op13_token_alignment)}
