@@ -1,4 +1,4 @@
 """Every registered query of the library's own operators, with its SQL oracle."""
 
-from corvane.plans import answers, confusion, dataset, geometry, latency, recall, structured, texts, validators  # noqa: F401
+from corvane.plans import answers, confusion, dataset, geometry, latency, recall, run_audit, structured, texts, validators  # noqa: F401
 from corvane.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
