@@ -16,7 +16,7 @@ def log(spark, small):
 
 def test_faults_are_found(log):
     # The smallest tables lack faults of three kinds.
-    log = r.RunLog(log.attempts, log.workers, log.rounds.withColumn("end", F.col("end") - 0.9), log.manifest, log.samples, log.config.withColumns({"barrier": F.lit(5.5), "disk_budget": F.lit(1e6)}))
+    log = r.RunLog(log.attempts, log.workers, log.rounds.withColumn("end", F.col("end") - 0.9), log.manifest, log.samples, log.config.withColumns({"barrier": F.lit(5.2), "disk_budget": F.lit(1e6)}))
     failed = {row.check for row in r.audit(log).where("n_failed > 0").select("check").distinct().collect()}
     assert failed >= {"device", "warmup_order", "record_order", "within_round", "barrier_apart", "stages_close", "last_token", "branch", "failure_is_bare", "unique_attempts", "one_at_a_time", "round_order", "peak_reset",
                       "barrier_shared", "warmup_before_barrier", "peak_of_rounds", "worker_status", "attempts_complete", "wall_budget", "samples_ordered", "samples_dense", "disk_budget", "samples_cover"}
