@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import pitman_yor as py
-from corvane.llm.textkit import batches_of, by_text, checkpointed, lower_ascii, mixed, partitions, text_buffer, word_hashes, word_spans
+from corvane.llm.textkit import batches_of, by_text, checkpointed, gathered, lower_ascii, mixed, partitions, word_hashes, word_spans
 
 #: Bytes of text and documents in a slice, at most (a longer text is a slice alone).
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 50_000
@@ -35,6 +36,8 @@ DISCOUNT, STRENGTH = 0.75, 5.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 #: Gibbs sweeps of the first round, and in the last one before and for the averages.
 FIRST_SWEEPS, BURN_IN, SAMPLES = 3, 2, 4
+#: Classes in a row of totals.
+TOTALS_BLOCK = 4096
 #: Classes of preceding words, whose totals all pass through the driver: a bound on what is broadcast.
 CLASSES = 1 << 16
 #: The end of a text, as a word.
@@ -71,27 +74,6 @@ def _piecewise(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Slices of whole documents: their rows, text bytes and offsets."""
-    held, size, rows = [], 0, 0
-
-    def flush():
-        table = pa.Table.from_batches(held)
-        return table, *text_buffer(table["text"])
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 100):
-            part = batch.slice(at, 100)
-            more = pa.compute.sum(pa.compute.binary_length(part["text"])).as_py() or 0
-            if held and (size + more > SLICE_BYTES or rows + part.num_rows > SLICE_ROWS):
-                yield flush()
-                held, size, rows = [], 0, 0
-            held.append(part)
-            size, rows = size + more, rows + part.num_rows
-    if held:
-        yield flush()
-
-
 def _packed(*arrays: np.ndarray) -> bytes:
     raw = b"".join(a.tobytes() for a in arrays)
     return struct.pack("<Q", len(raw)) + pa.Codec("zstd").compress(raw, asbytes=True)
@@ -124,7 +106,7 @@ def _slice_rows(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        for rows, data, offsets in _gathered(batches):
+        for rows, data, offsets in gathered(batches, SLICE_BYTES, SLICE_ROWS):
             batch, number = (part << 32) | number, number + 1
             hashes, classes, owners = _piecewise(data, offsets)
             data = offsets = None
@@ -191,66 +173,134 @@ def _start(bucket: _Bucket) -> tuple[np.ndarray, np.ndarray]:
     return tables, np.where(above > 0, np.ceil(above**ROOT_DISCOUNT), 0)
 
 
-def _sweeps(bucket: _Bucket, totals: dict, sweeps: int):
-    """Gibbs sweeps over a bucket; yields the state after each one.
+def _sweeps(bucket: _Bucket, totals: Totals, sweeps: int, seed: int):
+    """Gibbs sweeps over a bucket from its first tables; yields tables of pairs and of words after each one.
 
     Each sweep seats all dishes given the totals of the round before, of all
     buckets alike, with draws that belong to the words: how words are dealt out
     over buckets changes nothing.
     """
-    tables, root_tables = (x.copy() for x in _start(bucket))
-    if totals["state"]:
-        for step in _sweeps(bucket, totals["state"], FIRST_SWEEPS):
-            tables, root_tables = step[0].copy(), step[1].copy()
+    tables, root_tables = _start(bucket)
     many, seen_words = bucket.many, np.flatnonzero(bucket.counts > 0)
-    pair_draws = py.Draws(mixed(bucket.words[bucket.word[many]]) + bucket.context[many].astype(np.uint64), totals["seed"])
-    word_draws = py.Draws(bucket.words[seen_words], totals["seed"])
-    all_tables, all_above, all_root = np.maximum(totals["tables"], 1), totals["tables"].sum(), max(1.0, totals["root_tables"])
+    pair_draws = py.Draws(mixed(bucket.words[bucket.word[many]]) + bucket.context[many].astype(np.uint64), seed)
+    word_draws = py.Draws(bucket.words[seen_words], seed)
+    all_tables, all_root = totals.tables[-1], totals.root_tables[-1]
     for _ in range(sweeps):
-        customers_above = np.bincount(bucket.word, tables, len(bucket.words))
-        root = py.predictive(customers_above, root_tables, all_above, all_root, 1 / (totals["words"] + 1), ROOT_STRENGTH, ROOT_DISCOUNT)
+        root = _root(bucket, tables, root_tables, all_tables.sum(), all_root, totals.words)
         if len(many):
             others = np.maximum(all_tables[bucket.context[many]] - tables[many], 0)
             tables[many] = py.reseat(bucket.customers[many], tables[many], others, np.maximum(root[bucket.word[many]], 1e-300), STRENGTH, DISCOUNT, pair_draws)
         customers_above = np.bincount(bucket.word, tables, len(bucket.words))
         if len(seen_words):
             others = np.maximum(all_root - root_tables[seen_words], 0)
-            root_tables[seen_words] = py.reseat(customers_above[seen_words], root_tables[seen_words], others, np.full(len(seen_words), 1 / (totals["words"] + 1)), ROOT_STRENGTH, ROOT_DISCOUNT, word_draws)
-        yield tables, root_tables, all_tables, all_above, all_root, customers_above
+            root_tables[seen_words] = py.reseat(customers_above[seen_words], root_tables[seen_words], others, np.full(len(seen_words), 1 / (totals.words + 1)), ROOT_STRENGTH, ROOT_DISCOUNT, word_draws)
+        yield tables, root_tables
+
+
+def _samples(bucket: _Bucket, totals: Totals, seed: int):
+    """The seatings that predictions are averaged over."""
+    for at, state in enumerate(_sweeps(bucket, totals, BURN_IN + SAMPLES, seed)):
+        if at >= BURN_IN:
+            yield state
+
+
+def _root(bucket: _Bucket, tables: np.ndarray, root_tables: np.ndarray, all_above: float, all_root: float, words: float) -> np.ndarray:
+    """The shared parent's probabilities of a bucket's words."""
+    above = np.bincount(bucket.word, tables, len(bucket.words))
+    return py.predictive(above, root_tables, all_above, all_root, 1 / (words + 1), ROOT_STRENGTH, ROOT_DISCOUNT)
+
+
+def predictions(bucket: _Bucket, totals: Totals, samples: Totals, seed: int):
+    """For each sample the probabilities of a bucket's pairs and, from the parent alone, of its words.
+
+    samples has the totals of these same seatings, so that in each sample a
+    class's probabilities of all words and of the unknown one sum to one.
+    """
+    room = totals.customers[bucket.context]
+    for at, (tables, root_tables) in enumerate(_samples(bucket, totals, seed)):
+        all_tables = samples.tables[at]
+        root = _root(bucket, tables, root_tables, all_tables.sum(), samples.root_tables[at], totals.words)
+        yield py.predictive(bucket.customers, tables, room, all_tables[bucket.context], root[bucket.word], STRENGTH, DISCOUNT), root
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Sums over all buckets: learned words, customers of each class and, for each of some seatings, tables of each class and of the parent."""
 
+    words: float
+    customers: np.ndarray
+    tables: np.ndarray
+    root_tables: np.ndarray
 
-def _round(totals: dict | None):
-    """Totals of a bucket as rows (kind, key, value): before any seating (None), or after the first sweeps."""
+
+def _block_rows(tables: list[np.ndarray], numbers: list[float]) -> Iterator[pa.RecordBatch]:
+    """Sums of a bucket as rows: the classes in blocks, and last the plain numbers under block -1."""
+    whole = np.stack(tables)
+    rows = [(at, whole[:, at : at + TOTALS_BLOCK].tobytes()) for at in range(0, CLASSES, TOTALS_BLOCK) if whole[:, at : at + TOTALS_BLOCK].any()]
+    rows.append((-1, np.array(numbers, float).tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["block", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up rows of equal blocks; a task holds one for each of its blocks, of which there are CLASSES / TOTALS_BLOCK + 1."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, sums in zip(batch["block"].to_pylist(), batch["sums"].to_pylist(), strict=True):
+            own = np.frombuffer(sums, float)
+            held[block] = held[block] + own if block in held else own
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()])], names=["block", "sums"])
+
+
+def _summed(pairs: DataFrame, of_bucket, rows: int, numbers: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over all buckets, the sums of some rows of classes and of some numbers; they are whole, so their order doesn't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = _Bucket(batches)
-        if not bucket.slices:
-            return
-        tables, root_tables = _start(bucket)
-        if totals is not None:
-            for step in _sweeps(bucket, totals, FIRST_SWEEPS):
-                tables, root_tables = step[:2]
-        out = [("words", 0, float((bucket.counts > 0).sum())), ("root_tables", 0, float(root_tables.sum()))]
-        for kind, sums in (("customers", np.bincount(bucket.context, bucket.customers, CLASSES)), ("tables", np.bincount(bucket.context, tables, CLASSES))):
-            out += [(kind, int(at), float(sums[at])) for at in np.flatnonzero(sums)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["kind", "key", "value"])
+        if bucket.slices:
+            yield from _block_rows(*of_bucket(bucket))
+
+    parts = pairs.mapInArrow(run, "block bigint, sums binary").repartition(partitions(pairs.sparkSession), "block").mapInArrow(_added, "block bigint, sums binary")
+    tables, plain = np.zeros((rows, CLASSES)), np.zeros(numbers)
+    for r in parts.collect():
+        own = np.frombuffer(r["sums"], float)
+        if r["block"] < 0:
+            plain += own
+        else:
+            tables[:, r["block"] : r["block"] + TOTALS_BLOCK] += own.reshape(rows, -1)
+    return tables, plain
+
+
+def _by_class(bucket: _Bucket, values: np.ndarray) -> np.ndarray:
+    return np.bincount(bucket.context, values, CLASSES)
+
+
+def _first_sums(bucket: _Bucket):
+    tables, root_tables = _start(bucket)
+    return [_by_class(bucket, bucket.customers), _by_class(bucket, tables)], [float((bucket.counts > 0).sum()), float(root_tables.sum())]
+
+
+def _sums_of(seatings):
+    """The sums of a bucket in each of its seatings."""
+
+    def run(bucket: _Bucket):
+        found = [(_by_class(bucket, tables), float(root_tables.sum())) for tables, root_tables in seatings(bucket)]
+        return [x[0] for x in found], [x[1] for x in found]
 
     return run
 
 
-def _summed(pairs: DataFrame, totals: dict | None, seed: int) -> dict:
-    """The totals over all buckets; at most 2 * CLASSES + 2 numbers."""
-    found = pairs.mapInArrow(_round(totals), "kind string, key bigint, value double").groupBy("kind", "key").agg(F.sum("value").alias("value")).collect()
-    out: dict = {"words": 0.0, "root_tables": 0.0, "customers": np.zeros(CLASSES), "tables": np.zeros(CLASSES), "seed": seed, "state": totals}
-    for r in found:
-        if r.kind in ("words", "root_tables"):
-            out[r.kind] = r.value
-        else:
-            out[r.kind][r.key] = r.value
-    return out
+def _totals(pairs: DataFrame, seed: int) -> tuple[Totals, Totals]:
+    """The totals that the last round seats by, and those of each of its samples."""
+    (customers, tables), (words, root) = _summed(pairs, _first_sums, 2, 2)
+    start = Totals(words, customers, tables[None], np.array([root]))
+    tables, root = _summed(pairs, _sums_of(lambda b: _sweeps(b, start, FIRST_SWEEPS, seed)), FIRST_SWEEPS, FIRST_SWEEPS)
+    first = Totals(words, customers, tables, root)
+    tables, root = _summed(pairs, _sums_of(lambda b: _samples(b, first, seed + 1)), SAMPLES, SAMPLES)
+    return first, Totals(words, customers, tables, root)
 
 
-def _answers(totals: dict):
+def _answers(totals: Totals, samples: Totals, seed: int):
     """For each slice and bucket: the counts of its words and the averaged log10 probabilities of its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,12 +308,8 @@ def _answers(totals: dict):
         if not bucket.slices:
             return
         mean = np.zeros(len(bucket.word))
-        room = totals["customers"][bucket.context]
-        for at, (tables, root_tables, all_tables, all_above, all_root, above) in enumerate(_sweeps(bucket, totals, BURN_IN + SAMPLES)):
-            if at >= BURN_IN:
-                root = py.predictive(above, root_tables, all_above, all_root, 1 / (totals["words"] + 1), ROOT_STRENGTH, ROOT_DISCOUNT)
-                own = np.where(room > 0, all_tables[bucket.context], 0)
-                mean += py.predictive(bucket.customers, tables, room, own, root[bucket.word], STRENGTH, DISCOUNT) / SAMPLES
+        for own, _ in predictions(bucket, totals, samples, seed + 1):
+            mean += own / SAMPLES
         log = np.log10(mean).astype("<f4")
         at = 0
         for batch, number, n_words, n_pairs, heads in bucket.slices:
@@ -320,10 +366,9 @@ def lm_scores(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: s
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = checkpointed(batches_of(rows, _slice_rows(buckets), _SCHEMA))
     pairs = checkpointed(cut.where("bucket >= 0").select("batch", "bucket", "n_words", "n_pairs", "payload").repartitionById(buckets, F.col("bucket")))  # a task for each bucket: by hash, some tasks would get several
-    totals = _summed(pairs, None, seed)
-    train_tokens, words = int(totals["customers"].sum()), totals["words"]
-    totals = _summed(pairs, totals, seed + 1)
-    answers = pairs.mapInArrow(_answers(totals), "batch bigint, bucket int, n_words bigint, n_pairs bigint, payload binary")
+    totals, samples = _totals(pairs, seed)
+    train_tokens, words = int(totals.customers.sum()), totals.words
+    answers = pairs.mapInArrow(_answers(totals, samples, seed), "batch bigint, bucket int, n_words bigint, n_pairs bigint, payload binary")
     both = cut.where("bucket = -1").unionByName(answers, allowMissingColumns=True)
     dealt = both.repartition(buckets, "batch").sortWithinPartitions("batch", "bucket").select(*_NAMES)
     found = dealt.mapInArrow(_document_rows, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")

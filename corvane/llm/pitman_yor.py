@@ -75,15 +75,22 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 def seat(customers: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) -> np.ndarray:
     """Numbers of tables after so many customers (one at least) in one-dish restaurants of given strengths.
 
-    One rule serves all numbers: each step seats a group, a fixed share of those
-    seated already; within it the chance of a new table is that of its middle.
+    Each step seats a group, a fixed share of those seated already, or one
+    customer.  A group's new tables are binomial with the exact mean that seating
+    it one by one would have; only their spread within a group is approximate.
     """
     tables, seated, number = np.ones(len(customers)), 1, 0
     left = np.flatnonzero(customers > seated)
     while len(left):
         group = max(1, int(seated * GROUP))
         size = np.minimum(group, customers[left] - seated)
-        chance = np.clip((strength[left] + discount * tables[left]) / (strength[left] + seated + (size - 1) / 2), 0.0, 1.0)
+        if group == 1:
+            new = (strength[left] + discount * tables[left]) / (strength[left] + seated)
+        else:
+            # The product of 1 + discount / (strength + n) over the group's customers n is a ratio of gamma functions.
+            middle = strength[left] + seated + (discount - 1) / 2
+            new = (strength[left] / discount + tables[left]) * np.expm1(discount * np.log1p(size / middle))
+        chance = np.clip(new / size, 0.0, 1.0)
         tables[left] += draws.binomial(size, chance, left, number)
         seated, number = seated + group, number + 1
         left = left[customers[left] > seated]
