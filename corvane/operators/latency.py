@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import is_safe
+from corvane.operators.quantiles import with_quantiles
 
 
 def latency_summary(rows: DataFrame, sets: list[list[str]], value: str = "seconds") -> DataFrame:
@@ -16,15 +17,17 @@ def latency_summary(rows: DataFrame, sets: list[list[str]], value: str = "second
     Percentiles are of the observations themselves (linear between neighbours),
     in every set; they are never averaged.
     """
-    columns = list(dict.fromkeys(c for s in sets for c in s))
-    ok = F.when(F.col("status") == "ok", F.col(value))
-    return rows.groupingSets(sets, *columns).agg(F.count("*").alias("attempts"), F.count(ok).alias("successes"), F.avg(ok).alias("mean"), F.percentile(ok, F.lit(0.95)).alias("p95"))
+    own = rows.withColumn("_ok", F.when(F.col("status") == "ok", F.col(value)))
+    found = with_quantiles(own, sets, "_ok", {"p95": 0.95}, F.count("*").alias("attempts"), F.count("_ok").alias("successes"), F.avg("_ok").alias("mean"))
+    return found.drop("grouping")
 
 
 def full_summary(rows: DataFrame, by: list[str], value: str = "seconds") -> DataFrame:
     """n, mean, deviation (0 for one value), least, most, median and 95th percentile of a value."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.when(F.count(v) > 1, F.stddev_samp(v)).when(F.count(v) == 1, 0.0).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"))
+    deviation = F.when(F.count(v) > 1, F.stddev_samp(v)).when(F.count(v) == 1, 0.0).alias("std")
+    found = with_quantiles(rows, [by], value, {"p50": 0.5, "p95": 0.95}, F.count(v).alias("n"), F.avg(v).alias("mean"), deviation, F.min(v).alias("least"), F.max(v).alias("most"))
+    return found.drop("grouping")
 
 
 def rolling_eta(rows: DataFrame, series: str, order: list[str], value: str, window: int = 50, least: int = 3) -> DataFrame:

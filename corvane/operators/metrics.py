@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.measures import distance_bin, f1
 from corvane.functions.text import CATEGORIES, LABELS
+from corvane.operators.quantiles import with_quantiles
 
 
 def recall_slices(results: DataFrame) -> DataFrame:
@@ -142,12 +143,20 @@ def distance_errors(rows: DataFrame) -> DataFrame:
     """Errors of predicted against reference steps: all, by role and by category, as (slice, value, ...)."""
     ok = F.col("status") == "ok"
     e = F.when(ok, F.col("predicted_steps") - F.col("reference_steps"))
-    own = rows.withColumn("e", e)
-    aggregates = [F.count("*").alias("eligible"), F.count("e").alias("successful"), F.count_if(~ok).alias("failed"), F.countDistinct("image").alias("images"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"), F.median(F.abs("e")).alias("median_ae"), F.avg((F.abs("e") <= 1).cast("double")).alias("within_1")]
-    # Distinct counts under grouping sets repeat the rows once for each set, of which there are three.
-    split = own.groupingSets([[], ["role"], ["category"]], "role", "category").agg(F.grouping("role").alias("g1"), F.grouping("category").alias("g2"), *aggregates)
-    name = F.when((F.col("g1") == 1) & (F.col("g2") == 1), "all").when(F.col("g1") == 0, "role").otherwise("category")
-    return split.select(name.alias("slice"), F.coalesce("role", "category", F.lit("all")).alias("value"), "eligible", "successful", "failed", "images", "mae", "rmse", "bias", "median_ae", "within_1")
+    own = rows.withColumn("e", e).withColumn("_size", F.abs("e"))
+    sets = [[], ["role"], ["category"]]
+    aggregates = [
+        F.count("*").alias("eligible"), F.count("e").alias("successful"), F.count_if(~ok).alias("failed"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"),
+        F.avg((F.abs("e") <= 1).cast("double")).alias("within_1"),
+    ]
+    split = with_quantiles(own, sets, "_size", {"median_ae": 0.5}, *aggregates)
+    # Images are told apart before they are counted, so that no task holds those of a whole slice.
+    images = own.groupingSets([[*s, "image"] for s in sets], "role", "category", "image").agg(F.grouping_id("role", "category", "image").alias("grouping")).where("image is not null")
+    images = images.groupBy(F.col("role").alias("_role"), F.col("category").alias("_category"), F.shiftright("grouping", 1).alias("_grouping")).agg(F.count("*").alias("images"))
+    split = split.join(images, F.col("role").eqNullSafe(F.col("_role")) & F.col("category").eqNullSafe(F.col("_category")) & (F.col("grouping") == F.col("_grouping")), "left")
+    slices = F.when(F.col("grouping") == 3, "all").when(F.col("grouping") == 1, "role").otherwise("category")
+    value = F.coalesce("role", "category", F.lit("all"))
+    return split.select(slices.alias("slice"), value.alias("value"), "eligible", "successful", "failed", F.coalesce("images", F.lit(0)).alias("images"), "mae", "rmse", "bias", "median_ae", "within_1")
 
 
 def cohort(reference: DataFrame, models: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -170,10 +179,12 @@ def pair_category_counts(pairs: DataFrame) -> DataFrame:
 
 def judge_summary(scores: DataFrame, by: list[str]) -> DataFrame:
     """Weighted judge scores: mean, deviation, median and the shares of at least 8 and 6; a NaN counts as neither."""
-    own = scores.withColumn("overall", 0.5 * F.col("hazard") + 0.4 * F.col("guide") + 0.1 * F.col("format"))
-    number = F.when(~F.isnan("overall"), F.col("overall"))
+    overall = 0.5 * F.col("hazard") + 0.4 * F.col("guide") + 0.1 * F.col("format")
+    own = scores.withColumn("_number", F.when(~F.isnan(overall), overall))
+    number = F.col("_number")
     share = lambda least: (F.avg(F.coalesce((number >= least).cast("double"), F.lit(0.0))) * 100)
-    return own.groupBy(*by).agg(F.count("*").alias("n"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"), F.median(number).alias("median"), share(8).alias("pct_8"), share(6).alias("pct_6"))
+    found = with_quantiles(own, [by], "_number", {"median": 0.5}, F.count("*").alias("n"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"), share(8).alias("pct_8"), share(6).alias("pct_6"))
+    return found.drop("grouping")
 
 
 def paired_bootstrap(rows: DataFrame, replicates: int, seed: int = 17) -> DataFrame:
