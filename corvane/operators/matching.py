@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.functions.text import cautious_name
 
@@ -226,3 +227,26 @@ def top_candidates(candidates: DataFrame, least_iou: float) -> DataFrame:
 def first_by_priority(frame: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in the given order."""
     return frame.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def assembled(sides: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Keys of several tables with each one's row as a struct, and the names of the sides that lack the key or repeat it.
+
+    All sides go through one shuffle, as one tagged table; a repeated key keeps
+    any one of its rows and is named.  A key with a null is one like others.
+    """
+    tagged = []
+    for n, (name, frame) in enumerate(sides.items()):
+        own = F.struct(*[c for c in frame.columns if c not in keys])
+        others = [F.lit(None).cast(_payload(f, keys)).alias(m) for m, f in sides.items() if m != name]
+        tagged.append(frame.select(*keys, F.lit(1 << n).alias("_side"), own.alias(name), *others))
+    both = reduce(DataFrame.unionByName, tagged)
+    held = {name: F.count_if(F.col("_side") == 1 << n).alias(f"_n_{name}") for n, name in enumerate(sides)}
+    whole = both.groupBy(*keys).agg(F.bit_or("_side").alias("_mask"), *held.values(), *[F.any_value(name, True).alias(name) for name in sides])
+    named = lambda check: F.filter(F.array(*[F.when(check(n, name), name) for n, name in enumerate(sides)]), lambda x: x.isNotNull())
+    missing = named(lambda n, name: F.col("_mask").bitwiseAND(1 << n) == 0)
+    return whole.select(*keys, *sides, missing.alias("missing"), named(lambda n, name: F.col(f"_n_{name}") > 1).alias("repeated"))
+
+
+def _payload(frame: DataFrame, keys: list[str]) -> StructType:
+    return StructType([f for f in frame.schema.fields if f.name not in keys])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -187,24 +192,45 @@ def judge_summary(scores: DataFrame, by: list[str]) -> DataFrame:
     return found.drop("grouping")
 
 
+def _replicate_sums(replicates: int, seed: int, block: int = 4096):
+    """A task's sums for all replicates: of weights, and of weighted differences."""
+    term, below = math.exp(-1), []
+    for k in range(1, 60):
+        below.append(term + (below[-1] if below else 0.0))
+        term /= k
+    steps = np.array(below[: 1 + next(i for i in range(58) if below[i + 1] == below[i])])  # up to where doubles end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, sums = np.zeros(replicates), np.zeros(replicates)
+        numbers = (np.arange(replicates, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            keys, d = batch["key"].to_numpy().astype(np.uint64), batch["d"].to_numpy()
+            for at in range(0, len(keys), block):
+                x = keys[at : at + block, None] ^ numbers
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                own = np.searchsorted(steps, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+                weights += own.sum(axis=0)
+                sums += d[at : at + block] @ own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(weights), pa.array(sums)], names=["replicate", "weight", "total"])
+
+    return run
+
+
 def paired_bootstrap(rows: DataFrame, replicates: int, seed: int = 17) -> DataFrame:
-    """Mean difference of paired scores a and b, with the central 95 % of resampled means.
+    """One row: the mean difference of paired scores a and b, n, and the central 95 % of resampled means.
 
-    Each row's weight in a replicate is a Poisson draw that a hash of its id and
-    the replicate gives, so one pass over the rows makes all replicates without
-    moving rows.
+    Each row's weight in a replicate is a Poisson draw, which a hash of its id
+    and the replicate gives, however rows are dealt out.  A task adds up all
+    replicates of its rows and sends one sum for each.  Pairs with a null are
+    left out; without pairs all but n are null.
     """
-    u = (F.pmod(F.xxhash64("id", "replicate", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    steps, below, p = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        below += p
-        steps.append(below)
-        p /= k + 1
-    draws = rows.select("id", (F.col("a") - F.col("b")).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("replicate", "d", u)
-    weight = sum((F.col("u") >= s).cast("int") for s in steps)
-    means = draws.select("replicate", "d", weight.alias("w")).groupBy("replicate").agg(F.try_divide(F.sum(F.col("d") * F.col("w")), F.sum("w")).alias("m"))
-    point = rows.agg(F.avg(F.col("a") - F.col("b")).alias("difference"), F.count("*").alias("n"))
-    return point.join(means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")), how="cross")
+    own = rows.select("id", (F.col("a") - F.col("b")).cast("double").alias("d")).where("d is not null")
+    keyed = own.select(F.xxhash64("id", F.lit(seed)).alias("key"), "d")
+    parts = keyed.mapInArrow(_replicate_sums(replicates, seed), "replicate bigint, weight double, total double")
+    means = parts.groupBy("replicate").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
+    point = own.agg(F.avg("d").alias("difference"), F.count("*").alias("n"))
+    return point.join(means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")), how="cross")  # both are one row
 
 
 def categories_dimension(spark: SparkSession) -> DataFrame:

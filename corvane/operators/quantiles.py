@@ -8,26 +8,12 @@ partitions that hold a wanted rank, the values at it.  No task holds a group.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The rows written to the folder of the session's checkpoints, which all executors share.
-
-    Without spark.checkpoint.dir a local session takes a temporary folder; on a
-    cluster that is an error.
-    """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-"))
-    return frame.checkpoint()
+from corvane.sources.shared import checkpointed
 
 
 def value_counts(rows: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
