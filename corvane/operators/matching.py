@@ -81,26 +81,18 @@ def unmatched(objects: DataFrame, pairs: DataFrame, index: str) -> DataFrame:
     return objects.join(taken, ["record_index", "method", "object_index"], "left_anti")
 
 
-def synonym_matches(gt: DataFrame, pred: DataFrame, profile: str = "strict") -> DataFrame:
-    """Second tier: synonyms among objects left over; a star's centre meets its leaves."""
-    stars_ = F.broadcast(star_dimension(gt.sparkSession, profile).withColumnRenamed("name", "norm"))
-    placed = lambda frame, role: frame.withColumn("norm", cautious_name(F.col("name"))).join(stars_, "norm").withColumn("gt_central", role)
-    return rank_join(placed(gt, F.col("central")), placed(pred, ~F.col("central")), ["star", "gt_central"], "synonym")
+def _tiered(objects: DataFrame, profile: str, carried: list[str]) -> DataFrame:
+    """Objects of both sides with _source, and _pair: what the matched object of the other side carries.
 
-
-def matched_results(gt: DataFrame, pred: DataFrame, profile: str = "strict") -> DataFrame:
-    """A row for each reference object: its columns, pred_index, pred_name and source of its match, and detected.
-
-    Both tiers in one pass: the objects of both sides are dealt out once by
+    objects has record_index, method, _pred (false for reference objects),
+    object_index, name and the columns to carry.  They are dealt out once by
     record and method, and windows within that rank them by name, then those
     left over by star.  An object is matched if the other side has as many of
     its kind as its rank; rows of equal kind and rank are a pair.
     """
     key = ["record_index", "method"]
-    stars_ = F.broadcast(star_dimension(gt.sparkSession, profile).withColumnRenamed("name", "_norm"))
-    part = lambda frame, is_pred, *more: frame.select(*key, F.lit(is_pred).alias("_pred"), "object_index", cautious_name(F.col("name")).alias("_norm"), *more)
-    both = part(gt, False, F.struct(*gt.columns).alias("_gt")).unionByName(part(pred, True, F.col("name").alias("_name")), allowMissingColumns=True)
-    placed = both.join(stars_, "_norm", "left").withColumn("_centre", F.col("_pred") != F.col("central")).repartition(*key)
+    stars_ = F.broadcast(star_dimension(objects.sparkSession, profile).withColumnRenamed("name", "_norm"))
+    placed = objects.withColumn("_norm", cautious_name(F.col("name"))).repartition(*key).join(stars_, "_norm", "left").withColumn("_centre", F.col("_pred") != F.col("central"))
 
     def ranked(frame: DataFrame, kind: list[str], rank: str) -> DataFrame:
         """Adds a rank among a side's objects of one kind, null where the other side has fewer."""
@@ -113,10 +105,37 @@ def matched_results(gt: DataFrame, pred: DataFrame, profile: str = "strict") ->
     left = exact.withColumn("_kind", F.when(F.col("_first").isNull(), F.struct("star", "_centre")))
     tiers = ranked(left, ["_kind"], "_second").withColumn("_second", F.when(F.col("_kind.star").isNotNull(), F.col("_second")))
     source = F.when(F.col("_first").isNotNull(), "exact").when(F.col("_second").isNotNull(), "synonym")
-    named = tiers.withColumn("_source", source).withColumn("_same", F.when(F.col("_first").isNotNull(), F.col("_norm")).otherwise(F.concat_ws(" ", "star", "_centre"))).withColumn("_rank", F.coalesce("_first", "_second"))
-    pair = F.max(F.when(F.col("_pred"), F.struct("object_index", "_name"))).over(Window.partitionBy(*key, "_source", "_same", "_rank"))
-    found = named.withColumn("_pair", F.when(F.col("_source").isNotNull() & F.col("record_index").isNotNull() & F.col("method").isNotNull(), pair)).where(~F.col("_pred"))
-    return found.select("_gt.*", F.col("_pair.object_index").alias("pred_index"), F.col("_pair._name").alias("pred_name"), F.when(F.col("_pair").isNotNull(), F.col("_source")).alias("source"), F.col("_pair").isNotNull().alias("detected"))
+    kind = F.when(F.col("_first").isNotNull(), F.col("_norm")).otherwise(F.concat_ws(" ", "star", "_centre"))
+    named = tiers.withColumn("_source", source).withColumn("_same", kind).withColumn("_rank", F.coalesce("_first", "_second"))
+    other = lambda side: F.max(F.when(F.col("_pred") == side, F.struct("object_index", *carried))).over(Window.partitionBy(*key, "_source", "_same", "_rank"))
+    known = F.col("_source").isNotNull() & F.col("record_index").isNotNull() & F.col("method").isNotNull()
+    return named.withColumn("_pair", F.when(known, F.when(F.col("_pred"), other(False)).otherwise(other(True))))
+
+
+def matched_results(gt: DataFrame, pred: DataFrame, profile: str = "strict") -> DataFrame:
+    """A row for each reference object: its columns, pred_index, pred_name and source of its match, and detected."""
+    part = lambda frame, is_pred, *more: frame.select("record_index", "method", F.lit(is_pred).alias("_pred"), "object_index", "name", *more)
+    both = part(gt, False, F.struct(*gt.columns).alias("_gt")).unionByName(part(pred, True), allowMissingColumns=True)
+    found = _tiered(both, profile, ["name"]).where(~F.col("_pred"))
+    return found.select("_gt.*", F.col("_pair.object_index").alias("pred_index"), F.col("_pair.name").alias("pred_name"), F.when(F.col("_pair").isNotNull(), F.col("_source")).alias("source"), F.col("_pair").isNotNull().alias("detected"))
+
+
+def matched_events(gt: DataFrame, pred: DataFrame, records: DataFrame, profile: str = "strict") -> DataFrame:
+    """Events (method, record_index, a, p): matched, missed and surplus objects; SAFE for both where a record has none.
+
+    Records, given by record_index and method, pass through the matching as rows
+    without a side, so that objects and records are dealt out together once.
+    """
+    part = lambda frame, is_pred: frame.select("record_index", "method", F.lit(is_pred).alias("_pred"), "object_index", "name", "categories")
+    both = part(gt, False).unionByName(part(pred, True)).unionByName(records.select("record_index", "method"), allowMissingColumns=True)
+    found = _tiered(both, profile, ["categories"])
+    held = F.count("_pred").over(Window.partitionBy("record_index", "method"))
+    safe = F.array(F.lit("SAFE"))
+    matched = F.col("_pair").isNotNull()
+    keep = F.when(F.col("_pred").isNull(), F.col("_objects") == 0).otherwise(~F.col("_pred") | ~matched)
+    a = F.when(F.col("_pred").isNull() | F.col("_pred"), safe).otherwise(F.col("categories"))
+    p = F.when(F.col("_pred").isNull(), safe).when(F.col("_pred"), F.col("categories")).otherwise(F.coalesce("_pair.categories", safe))
+    return found.withColumn("_objects", held).where(keep).select("record_index", "method", a.alias("a"), p.alias("p"))
 
 
 def rule_matches(gt: DataFrame, pred: DataFrame, profile: str = "strict") -> DataFrame:
@@ -154,13 +173,6 @@ def overridden(pairs: DataFrame, overrides: DataFrame) -> DataFrame:
     return typed.join(given.select(*key), key, "left_anti").unionByName(folded)
 
 
-def object_results(gt: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row for each reference object and method: its own columns, the matched prediction, and detected."""
-    named = pairs.join(pred.select("record_index", "method", F.col("object_index").alias("pred_index"), F.col("name").alias("pred_name")), ["record_index", "method", "pred_index"], "left")
-    found = named.select("record_index", "method", F.col("gt_index").alias("object_index"), "pred_index", "pred_name", "source")
-    return gt.join(found, ["record_index", "method", "object_index"], "left").withColumn("detected", F.col("pred_index").isNotNull())
-
-
 def profile_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """newly_detected, lost or changed_pair for keys in both results, by (record_index, method, object_index)."""
     key = ["record_index", "method", "object_index"]

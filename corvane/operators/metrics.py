@@ -45,20 +45,6 @@ def fractional_confusion(events: DataFrame) -> DataFrame:
     return spread.select("method", F.explode("a").alias("actual"), "p", "w").select("method", "actual", F.explode("p").alias("predicted"), "w").groupBy("method", "actual", "predicted").agg(F.sum("w").alias("mass"))
 
 
-def match_events(gt: DataFrame, pred: DataFrame, pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Events (method, record_index, a, p): matched, missed and surplus objects; SAFE for both where a record has none."""
-    safe = F.array(F.lit("SAFE"))
-    key = ["record_index", "method"]
-    g = gt.select(*key, F.col("object_index").alias("gt_index"), F.col("categories").alias("a"))
-    q = pred.select(*key, F.col("object_index").alias("pred_index"), F.col("categories").alias("p"))
-    left = g.join(pairs.select(*key, "gt_index", "pred_index"), [*key, "gt_index"], "left")
-    both = left.join(q, [*key, "pred_index"], "left").select(*key, "a", F.coalesce("p", safe).alias("p"))
-    surplus = q.join(pairs.select(*key, "pred_index"), [*key, "pred_index"], "left_anti").select(*key, safe.alias("a"), "p")
-    seen = g.select(*key).unionByName(q.select(*key)).distinct()
-    empty = records.join(seen, key, "left_anti").select(*key, safe.alias("a"), safe.alias("p"))
-    return both.unionByName(surplus).unionByName(empty)
-
-
 def row_normalised(matrix: DataFrame, value: str) -> DataFrame:
     """A full matrix over the labels, each row in percent of its sum; 0 for an empty row."""
     spark = matrix.sparkSession

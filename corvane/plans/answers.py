@@ -89,13 +89,13 @@ def matrix_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.matrix_table(cells, "method", "label", "n", t.CATEGORIES)
 
 
-@query("""WITH w AS (SELECT p_partkey, [p_name || '.png', p_type || '.png', p_brand || '.png'] AS keys FROM part), c AS (SELECT DISTINCT p_name || '.png' AS k FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 30 UNION SELECT DISTINCT p_brand || '.png' FROM part),
+@query("""WITH w AS (SELECT p_partkey, [p_name || '.png', p_type || '.png', p_brand || '.png'] AS keys FROM part), c AS (SELECT DISTINCT p_name || '.png' AS k FROM part WHERE p_size > 45 UNION SELECT DISTINCT p_brand || '.png' FROM part),
 x AS (SELECT p_partkey, unnest(keys) AS k, unnest(range(3)) AS priority FROM w) SELECT p_partkey, min_by(k, priority) AS candidate, min(priority)::INT AS priority FROM x SEMI JOIN c USING (k) GROUP BY 1""")
 def image_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = a.table(spark, sf_dir, "part")
     png = lambda c: F.concat(F.col(c), F.lit(".png"))
     items = p.select("p_partkey", png("p_name").alias("k0"), png("p_type").alias("k1"), png("p_brand").alias("k2"))
-    there = p.where("p_partkey % 3 = 0 and p_partkey < 30").select(png("p_name").alias("candidate")).union(p.select(png("p_brand").alias("candidate")))
+    there = p.where("p_size > 45").select(png("p_name").alias("candidate")).union(p.select(png("p_brand").alias("candidate")))
     return r.paired_by_priority(items, there, "p_partkey", ["k0", "k1", "k2"])
 
 

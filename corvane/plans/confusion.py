@@ -15,7 +15,7 @@ from corvane.plans.registry import query
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, pred = sides(spark, sf_dir)
     recs = m.with_methods(a.records(spark, sf_dir).select("record_index"), a.METHODS)
-    return k.match_events(gt, pred, m.rule_matches(gt, pred), recs)
+    return m.matched_events(gt, pred, recs)
 
 
 EVENTS_SQL = f"""{a.matches_sql('strict')}, {a.RECORDS_SQL},
