@@ -138,6 +138,15 @@ def matched_events(gt: DataFrame, pred: DataFrame, records: DataFrame, profile:
     return found.withColumn("_objects", held).where(keep).select("record_index", "method", a.alias("a"), p.alias("p"))
 
 
+def matched_sides(gt: DataFrame, pred: DataFrame, columns: list[str], profile: str = "strict") -> DataFrame:
+    """(record_index, method, kind, g, p): matched pairs, unmatched_gt and unmatched_pred objects, with some columns of either side."""
+    part = lambda frame, is_pred: frame.select("record_index", "method", F.lit(is_pred).alias("_pred"), "object_index", "name", *columns)
+    found = _tiered(part(gt, False).unionByName(part(pred, True)), profile, columns).where(~F.col("_pred") | F.col("_pair").isNull())
+    kind = F.when(F.col("_pred"), "unmatched_pred").when(F.col("_pair").isNull(), "unmatched_gt").otherwise("matched")
+    own, other = F.struct(*columns), F.when(F.col("_pair").isNotNull(), F.struct(*[F.col(f"_pair.{c}").alias(c) for c in columns]))
+    return found.select("record_index", "method", kind.alias("kind"), F.when(~F.col("_pred"), own).alias("g"), F.when(F.col("_pred"), own).otherwise(other).alias("p"))
+
+
 def rule_matches(gt: DataFrame, pred: DataFrame, profile: str = "strict") -> DataFrame:
     """(record_index, method, gt_index, pred_index, source): exact names first, synonyms among the rest."""
     slim = gt.select("record_index", "method", "object_index", "name")

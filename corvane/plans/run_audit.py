@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.operators import run_audit as r
 from corvane.plans import adapters as a
 from corvane.plans.registry import query
+from corvane.sources.shared import checkpointed
 
 #: What every run was planned with.
 PLAN = {"barrier": 5.0, "rounds": 2, "warm_each": 2, "interval": 1.0, "token_limit": 5, "wall_budget": 14400.0, "disk_budget": 450e6}
@@ -73,8 +74,9 @@ def run_log(spark: SparkSession, sf_dir: str) -> r.RunLog:
     own = Window.partitionBy("user_id")
     e = a.table(spark, sf_dir, "events").withColumn("k", F.row_number().over(own.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(own)).withColumn("m", F.greatest(F.floor((F.col("n") - 4) / 2), F.lit(1)))
     e = e.withColumns({"run_id": F.floor(F.col("user_id") / 4), "worker": F.col("user_id"), "phase": F.when(F.col("k") <= 4, "warmup").otherwise("formal"), "round": F.when(F.col("k") <= 4, 0).otherwise(F.least(1 + F.floor((F.col("k") - 5) / F.col("m")), F.lit(2))).cast("int")})
+    # Stands for a log that is stored; its tables are all read from it.
+    e = checkpointed(e.withColumns({"position": F.col("k") - F.when(F.col("phase") == "warmup", 0).otherwise(4 + (F.col("round") - 1) * F.col("m")), "began": F.col("k") - F.when(F.col("event_id") % 89 == 0, 0.95).otherwise(0.0), "dur": 0.1 + F.col("value") / 1000}))
     n, k, m, worker, warm = F.col("event_id"), F.col("k"), F.col("m"), F.col("worker"), F.col("phase") == "warmup"
-    e = e.withColumns({"position": k - F.when(warm, 0).otherwise(4 + (F.col("round") - 1) * m), "began": k - F.when(n % 89 == 0, 0.95).otherwise(0.0), "dur": 0.1 + F.col("value") / 1000})
     position, dur, failed = F.col("position"), F.col("dur"), n % 97 == 1
     device = F.concat(F.lit("g"), worker.cast("string"))
     swapped = F.when(position % 2 == 1, position + 1).otherwise(position - 1)

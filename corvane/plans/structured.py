@@ -99,13 +99,11 @@ fe AS (SELECT r.method, CASE WHEN r.detected THEN 'matched' ELSE 'unmatched_gt'
 
 def field_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, pred = sides(spark, sf_dir)
-    pairs = m.rule_matches(gt, pred)
-    key = _KEYS
-    side = lambda f, index, x: f.select(*key, F.col("object_index").alias(index), F.col("categories")[0].alias(f"{x}c"), F.col("distance_steps").alias(f"{x}d"))
-    g = side(gt, "gt_index", "g").join(a.records(spark, sf_dir).select("record_index", "role"), "record_index").join(pairs.select(*key, "gt_index", "pred_index"), [*key, "gt_index"], "left")
-    both = g.join(side(pred, "pred_index", "p"), [*key, "pred_index"], "left").withColumn("kind", F.when(F.col("pred_index").isNotNull(), "matched").otherwise("unmatched_gt"))
-    rest = side(pred, "pred_index", "p").join(pairs.select(*key, "pred_index"), [*key, "pred_index"], "left_anti").withColumn("kind", F.lit("unmatched_pred"))
-    return both.unionByName(rest, allowMissingColumns=True).select("method", "kind", "role", "gc", "pc", "gd", "pd")
+    roles = a.records(spark, sf_dir).select("record_index", "role", F.lit(True).alias("known"))
+    found = m.matched_sides(gt, pred, ["categories", "distance_steps"]).join(roles, "record_index", "left")
+    surplus = F.col("kind") == "unmatched_pred"
+    part = lambda x: [F.col(f"{x}.categories")[0].alias(f"{x}c"), F.col(f"{x}.distance_steps").alias(f"{x}d")]
+    return found.where(surplus | F.col("known")).select("method", "kind", F.when(~surplus, F.col("role")).alias("role"), *part("g"), *part("p"))
 
 
 @query(f"WITH {_FIELD}, c AS (SELECT method, count_if(kind = 'matched') AS tp, count_if(kind = 'unmatched_pred') AS fp, count_if(kind = 'unmatched_gt' AND role = 'required') AS fn FROM fe GROUP BY method) SELECT *, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c")
