@@ -129,8 +129,33 @@ def fingerprint(*fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with a fixed count of places, rounded by its exact binary value, ties to even; empty for null, whole numbers up to 2**52."""
+    scale = 10**places
+    v = F.abs(value.cast("double"))
+    # v * 2 * scale in two parts, of which the second is what the first one's rounding lost.
+    factor, split = float(2 * scale), 134217729.0
+    product, big = v * factor, v * split
+    high = big - (big - v)
+    factor_high = factor * split - (factor * split - factor)
+    low, factor_low = v - high, factor - factor_high
+    lost = ((high * factor_high - product) + high * factor_low + low * factor_high) + low * factor_low
+    whole = F.floor(product / 2)
+    over = product - 2 * whole  # at 1, a tie but for what was lost
+    units = whole + F.when((over > 1) | ((over == 1) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1)))), 1).otherwise(0)
+    digits = F.concat(F.floor(units / scale).cast("string"), F.lit("."), F.lpad((units % scale).cast("string"), places, "0")) if places else units.cast("string")
+    number = F.concat(F.when(value < 0, "-").otherwise(""), digits)
+    return F.when(value.isNull(), "").when(F.isnan(value.cast("double")), "nan").when(v == float("inf"), F.when(value < 0, "-inf").otherwise("inf")).otherwise(number)
+
+
 def formatted(value: Column, digits: int = 3, missing: str = "--") -> Column:
-    return F.when(value.isNull() | F.isnan(value), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", value))
+    """A number with a fixed count of places, or a mark where there is none."""
+    return F.when(value.isNull() | F.isnan(value), missing).otherwise(fixed(value, digits))
+
+
+def rounded(value: Column, places: int) -> Column:
+    """A double rounded to some places by its exact binary value, ties to even."""
+    return F.when(value.isNotNull(), fixed(value, places).cast("double"))
 
 
 def duration(seconds: Column) -> Column:

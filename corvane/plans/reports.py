@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import CATEGORIES, LABELS
+from corvane.functions.text import CATEGORIES, LABELS, fixed
 from corvane.operators.matching import assembled
 from corvane.plans import adapters as a
 from corvane.plans.registry import ORACLE_SQL, QUERIES, query
@@ -39,7 +39,7 @@ _RECALL = ORACLE_SQL["recall_by_category_bin"]
 @query(_lines_sql("category,distance_bin,method,total,recall", f"SELECT *, concat_ws(',', category, distance_bin, method, total::VARCHAR, coalesce(printf('%.3f', recall), '')) AS line FROM ({_RECALL})", f"coalesce(nullif(list_position({_listed(CATEGORIES)}, category), 0), 9), coalesce(nullif(list_position({_listed(BINS)}, distance_bin), 0), 9), method"))
 def csv_recall_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = QUERIES["recall_by_category_bin"](spark, sf_dir)
-    columns = {n: F.col(n) for n in ("category", "distance_bin", "method", "total")} | {"recall": sinks.fixed(F.col("recall"), 3)}
+    columns = {n: F.col(n) for n in ("category", "distance_bin", "method", "total")} | {"recall": fixed(F.col("recall"), 3)}
     return _file(spark, rows, columns, [sinks.place_in(F.col("category"), CATEGORIES), sinks.place_in(F.col("distance_bin"), BINS), F.col("method")])
 
 
@@ -49,7 +49,7 @@ _CELLS = ", ".join(f"coalesce(printf('%.6f', max(CASE WHEN predicted = '{p}' THE
 @query(_lines_sql("method,actual," + ",".join(LABELS), f"SELECT method, actual, concat_ws(',', method, actual, {', '.join(f'c_{p}' for p in LABELS)}) AS line FROM (SELECT method, actual, {_CELLS} FROM ({ORACLE_SQL['confusion_rownorm']}) GROUP BY ALL)", f"method, list_position({_listed(LABELS)}, actual)"))
 def csv_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = QUERIES["confusion_rownorm"](spark, sf_dir).groupBy("method", "actual").pivot("predicted", list(LABELS)).agg(F.max("percent")).na.fill(0.0)
-    columns = {"method": F.col("method"), "actual": F.col("actual")} | {p: sinks.fixed(F.col(p), 6) for p in LABELS}
+    columns = {"method": F.col("method"), "actual": F.col("actual")} | {p: fixed(F.col(p), 6) for p in LABELS}
     return _file(spark, wide, columns, [F.col("method"), sinks.place_in(F.col("actual"), LABELS)])
 
 
@@ -59,7 +59,7 @@ def csv_latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.operators.latency import latency_summary
 
     rows = latency_summary(a.observations(spark, sf_dir), [["model", "branch"], []]).withColumns({n: F.round(n, 9) for n in ("mean", "p95")})
-    columns = {"model": F.coalesce("model", F.lit("overall")), "branch": F.coalesce("branch", F.lit("all")), "attempts": F.col("attempts"), "successes": F.col("successes")} | {n: sinks.fixed(F.col(n), 6) for n in ("mean", "p95")}
+    columns = {"model": F.coalesce("model", F.lit("overall")), "branch": F.coalesce("branch", F.lit("all")), "attempts": F.col("attempts"), "successes": F.col("successes")} | {n: fixed(F.col(n), 6) for n in ("mean", "p95")}
     return _file(spark, rows, columns, [F.col("model").isNull(), F.col("model"), F.col("branch")], "\r\n", True)
 
 

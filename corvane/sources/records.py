@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import rounded
+
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of whole files, without a byte order mark."""
@@ -149,7 +151,7 @@ def last_by_key(rows: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(path, stem, length, repeated_stem) of files below a folder with one of the suffixes, in any case."""
+    """(path, stem, length, repeated_stem) of files below a folder with one of the suffixes, in any case; empty files are not listed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     own = found.where(F.lower("path").rlike("(" + "|".join(s.lower().replace(".", r"\.") for s in suffixes) + ")$"))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
@@ -167,9 +169,9 @@ def manifest_differences(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def scene_objects(texts: DataFrame) -> DataFrame:
-    """(source, name, distance, direction) of scene JSON with models, rounded half to even."""
+    """(source, name, distance, direction) of scene JSON with models, rounded to 2 and 1 places as their binary values are."""
     schema = "struct<models:array<struct<name:string,distance:double,direction:double>>>"
-    return texts.select("source", F.inline(F.from_json("text", schema)["models"])).select("source", "name", F.bround("distance", 2).alias("distance"), F.bround("direction", 1).alias("direction"))
+    return texts.select("source", F.inline(F.from_json("text", schema)["models"])).select("source", "name", rounded(F.col("distance"), 2).alias("distance"), rounded(F.col("direction"), 1).alias("direction"))
 
 
 def assistant_text(messages: Column, exact: bool = True) -> Column:
@@ -203,19 +205,32 @@ def create_once(frame: DataFrame, path: str) -> bool:
     raise ValueError(f"{path} holds other rows")
 
 
+def _report(frame: DataFrame, most: int) -> tuple[list, int]:
+    """A report's first rows, and how many are left out; they are counted only where there are more."""
+    rows = frame.limit(most + 1).collect()
+    return rows[:most], frame.count() - most if len(rows) > most else 0
+
+
 def markdown(frame: DataFrame, most: int = 50) -> str:
     """A Markdown table of a report's first rows, and how many are left out."""
-    rows, total = frame.limit(most).collect(), frame.count()
+    rows, left = _report(frame, most)
     out = ["| " + " | ".join(frame.columns) + " |", "|" + "---|" * len(frame.columns)]
-    out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
-    return "\n".join(out + [f"… and {total - most} more"] * (total > most))
+    out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows]
+    return "\n".join(out + [f"… and {left} more"] * (left > 0))
+
+
+# Characters that LaTeX reads as its own, and how they are written.
+LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 
 
-def class_names(texts: DataFrame) -> DataFrame:
-    """(class_id, name) of a class list, one name a line; blank lines don't count, a name twice raises."""
-    names = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    checked = F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(F.raise_error(F.lit("a class is named twice")).cast("array<string>"))
-    return texts.select(F.posexplode(checked).alias("class_id", "name"))
+def latex(frame: DataFrame, most: int = 50) -> str:
+    """A LaTeX tabular of a report's first rows; numbers stand to the right."""
+    rows, left = _report(frame, most)
+    text = lambda v: "" if v is None else "".join(LATEX.get(c, c) for c in str(v))
+    sides = "".join("r" if kind in ("int", "bigint", "double", "float") or kind.startswith("decimal") else "l" for _, kind in frame.dtypes)
+    line = lambda values: " & ".join(map(text, values)) + r" \\"
+    out = [rf"\begin{{tabular}}{{{sides}}}", r"\toprule", line(frame.columns), r"\midrule", *map(line, rows), r"\bottomrule", r"\end{tabular}"]
+    return "\n".join(out + [f"% {left} more"] * (left > 0))
 
 
 def paired_by_priority(items: DataFrame, candidates: DataFrame, key: str, keys: list[str]) -> DataFrame:

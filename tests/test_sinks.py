@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions.text import fixed
 from corvane.operators.matching import assembled
 from corvane.operators.metrics import paired_bootstrap
 from corvane.sources import class_names as c
@@ -19,7 +20,7 @@ def test_fixed(spark, places):
     rng = random.Random(4)
     values = [0.0, -0.0, 0.0625, 0.1875, -0.3125, 0.0005, 0.0015, 1.0005, 2.5, 1.5, 0.9995, 0.99951, 999.9999995, 1e-9, -1e-9, 123456.789, 1 / 3, None, float("nan"), float("inf"), -float("inf")]
     values += [rng.uniform(-1, 1) for _ in range(500)] + [rng.randint(0, 400) / rng.randint(1, 400) for _ in range(2000)] + [rng.randint(-2000, 2000) / 2000 for _ in range(300)]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(sinks.fixed(F.col("v"), places)).collect()]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(fixed(F.col("v"), places)).collect()]
     want = ["" if v is None else f"{v:.{places}f}" for v in values]
     assert got == [w.removeprefix("-") if v == 0 else w for v, w in zip(values, want, strict=True)]  # zero has no sign here
 
@@ -31,7 +32,7 @@ def test_ordered_csv(spark, tmp_path, parts, end):
     table = spark.createDataFrame(rows, "kind string, n int, text string, v double").repartition(5)
     order = ("zz", "a")
     path, target = str(tmp_path / "parts"), str(tmp_path / "whole.csv")
-    sinks.write_ordered_csv(table, path, {"kind": F.col("kind"), "n, all": F.col("n"), "text": F.col("text"), "v": sinks.fixed(F.col("v"), 3)}, [sinks.place_in(F.col("kind"), order), F.col("n")], mark=True, line_end=end, parts=parts)
+    sinks.write_ordered_csv(table, path, {"kind": F.col("kind"), "n, all": F.col("n"), "text": F.col("text"), "v": fixed(F.col("v"), 3)}, [sinks.place_in(F.col("kind"), order), F.col("n")], mark=True, line_end=end, parts=parts)
     sinks.join_parts(spark, path, target)
     out = io.StringIO()
     writer = csv.writer(out, lineterminator=end)
