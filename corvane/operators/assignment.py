@@ -6,7 +6,9 @@ itself in a grouped task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -164,15 +166,26 @@ def _best_pairs(edges: list[tuple[int, int, float]], solver: Callable = solve) -
     """
     g, p = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
     g_at, p_at = {x: i for i, x in enumerate(g)}, {x: i for i, x in enumerate(p)}
+    exact = [_ratio(c) for _, _, c in edges]
+    unit = math.lcm(*[c.denominator for c in exact])
     base = len(p) + 1
     tie = base ** len(g)  # more than all digits together
-    barred = 13 * tie * (min(len(g), len(p)) + 1)
+    # A barred place costs more than the dearest full set of pairs.
+    barred = (int(max(abs(c) for c in exact) * unit) + 2) * tie * (2 * min(len(g), len(p)) + 1)
     cost = np.full((len(g), len(p)), barred, dtype=object)
-    for a, b, c in edges:  # costs are sixths
-        cost[g_at[a], p_at[b]] = round(c * 6) * tie + base ** (len(g) - 1 - g_at[a]) * p_at[b]
+    for (a, b, _), c in zip(edges, exact, strict=True):
+        cost[g_at[a], p_at[b]] = int(c * unit) * tie + base ** (len(g) - 1 - g_at[a]) * p_at[b]
     return [(g[i], p[j]) for i, j in enumerate(solver(cost)) if j >= 0 and cost[i, j] < barred]
 
 
+def _ratio(cost: float, most: int = 10_000) -> Fraction:
+    """The ratio of whole numbers that a cost stands for; costs that are none of small denominators are refused."""
+    found = Fraction(cost).limit_denominator(most)
+    if abs(float(found) - cost) > 1e-12 * max(1.0, abs(cost)):
+        raise ValueError(f"{cost} is no ratio with a denominator of at most {most}")
+    return found
+
+
 def _assign_sorted(keys: list[str], solver: Callable):
     """Solves samples whose rows follow each other, over the borders of batches."""
 
@@ -201,7 +214,8 @@ def assigned(edges: DataFrame, keys: list[str], solver: Callable = solve) -> Dat
     An edge that both its objects have alone is a pair without more ado; the
     rest of the samples are cut into connected components and solved in Python
     tasks, many in each.  solver takes a matrix of whole-number costs and gives
-    each row's column, or -1; `solve` is exact.
+    each row's column, or -1; `solve` is exact.  Costs are ratios of whole numbers
+    with denominators up to 10,000, which are compared exactly; others raise.
     """
     kinds = dict(edges.dtypes)
     alone = lambda side: F.count("*").over(Window.partitionBy(*keys, side)) == 1

@@ -208,3 +208,12 @@ def test_streaming(spark, small, tmp_path):
         run.stop()
     assert spark.sql("SELECT sum(samples) AS n FROM gaps").first().n == spark.read.parquet(str(tmp_path / "in")).count()
     assert spark.sql("SELECT count(*) AS n FROM windows").first().n > 0
+
+
+def test_assignment_costs():
+    # Fifths and sevenths are compared exactly, where sixths would round them together.
+    edges = [(0, 0, 2 * (1 - 3 / 7)), (0, 1, 2 * (1 - 2 / 5)), (1, 0, 2 * (1 - 1 / 5)), (1, 1, 2 * (1 - 1 / 7))]
+    want = min(([(0, 0), (1, 1)], edges[0][2] + edges[3][2]), ([(0, 1), (1, 0)], edges[1][2] + edges[2][2]), key=lambda x: x[1])[0]
+    assert assignment._best_pairs(edges) == want
+    with pytest.raises(ValueError, match="ratio"):
+        assignment._best_pairs([(0, 0, 0.1234567891), (0, 1, 0.5)])
