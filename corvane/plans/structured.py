@@ -41,33 +41,23 @@ def competing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.competing(edges(spark, sf_dir), _KEYS).select(*_KEYS, "gt_index", "pred_index", "competing")
 
 
-@query()
-def hazard_f1_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pred = sides(spark, sf_dir)
-    pairs = s.assigned(s.candidate_edges(gt, pred, _KEYS), _KEYS)
-    count = lambda frame, name: frame.groupBy("method").agg(F.count("*").alias(name))
-    c = count(pairs, "tp").join(count(gt, "n_gt"), "method").join(count(pred, "n_pred"), "method")
-    c = c.select("method", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
-    return c.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
-
-
 @query()
 def assignment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.assigned(edges(spark, sf_dir), _KEYS)
 
 
 # Every way to pair the objects of a sample, in the order of its reference objects.
-_ENUMERATED = f"""WITH RECURSIVE {_EDGES}, gts AS (SELECT record_index, method, gt_index, row_number() OVER (PARTITION BY record_index, method ORDER BY gt_index) AS place FROM (SELECT DISTINCT record_index, method, gt_index FROM edges)),
+_WAYS = f"""WITH RECURSIVE {_EDGES}, gts AS (SELECT record_index, method, gt_index, row_number() OVER (PARTITION BY record_index, method ORDER BY gt_index) AS place FROM (SELECT DISTINCT record_index, method, gt_index FROM edges)),
 ways(record_index, method, place, used, n, cost) AS (SELECT DISTINCT record_index, method, 0::BIGINT, []::INT[], 0, 0.0::DOUBLE FROM edges
  UNION ALL SELECT w.record_index, w.method, g.place, CASE WHEN e.pred_index IS NULL THEN w.used ELSE list_append(w.used, e.pred_index) END, w.n + CASE WHEN e.pred_index IS NULL THEN 0 ELSE 1 END, w.cost + coalesce(e.cost, 0)
  FROM ways w JOIN gts g ON g.record_index = w.record_index AND g.method = w.method AND g.place = w.place + 1
  JOIN (SELECT record_index, method, gt_index, pred_index, cost FROM edges UNION ALL SELECT record_index, method, gt_index, NULL, NULL FROM gts) e ON e.record_index = g.record_index AND e.method = g.method AND e.gt_index = g.gt_index
  WHERE e.pred_index IS NULL OR NOT list_contains(w.used, e.pred_index)),
-most AS (SELECT record_index, method, max(n) AS pairs FROM ways GROUP BY ALL)
-SELECT record_index, method, pairs::BIGINT AS pairs, round(min(cost), 6) AS cost FROM ways JOIN most USING (record_index, method) WHERE n = pairs GROUP BY ALL"""
+most AS (SELECT record_index, method, max(n) AS pairs FROM ways GROUP BY ALL)"""
 
 
-@query(_ENUMERATED)
+@query(f"""{_WAYS}
+SELECT record_index, method, pairs::BIGINT AS pairs, round(min(cost), 6) AS cost FROM ways JOIN most USING (record_index, method) WHERE n = pairs GROUP BY ALL""")
 def assignment_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and total cost of each sample's assignment, which an enumeration of all pairings confirms."""
     own = edges(spark, sf_dir)
@@ -75,6 +65,17 @@ def assignment_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.groupBy(*_KEYS).agg(F.count("*").alias("pairs"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
+@query(f"""{_WAYS} SELECT method, tp, n_pred - tp AS fp, n_gt - tp AS fn, round(2 * tp / (n_pred + n_gt), 9) AS f1 FROM (SELECT method, sum(pairs)::BIGINT AS tp FROM most GROUP BY method)
+JOIN (SELECT method, count(*) AS n_gt FROM gtm GROUP BY method) USING (method) JOIN (SELECT method, count(*) AS n_pred FROM pred GROUP BY method) USING (method)""")
+def hazard_f1_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred = sides(spark, sf_dir)
+    pairs = s.assigned(s.candidate_edges(gt, pred, _KEYS), _KEYS)
+    count = lambda frame, name: frame.groupBy("method").agg(F.count("*").alias(name))
+    c = count(pairs, "tp").join(count(gt, "n_gt"), "method").join(count(pred, "n_pred"), "method")
+    c = c.select("method", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
+    return c.withColumn("f1", F.round(f1(F.col("tp"), F.col("fp"), F.col("fn")), 9))
+
+
 @query(f"""WITH {EVENTS_SQL}, c AS (SELECT method, CASE WHEN a = ['SAFE'] THEN [] ELSE list_distinct(a) END AS g, CASE WHEN p = ['SAFE'] THEN [] ELSE list_distinct(p) END AS q FROM ev),
 n AS (SELECT method, sum(len(list_intersect(g, q)))::BIGINT AS tp, sum(len(q) - len(list_intersect(g, q)))::BIGINT AS fp, sum(len(g) - len(list_intersect(g, q)))::BIGINT AS fn FROM c GROUP BY method)
 SELECT *, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM n""")
