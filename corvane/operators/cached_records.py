@@ -139,3 +139,40 @@ def log_violations(logs: DataFrame, records: DataFrame, key: str, fields: tuple[
     rows = own.join(other, F.col(key) == F.col("_key"), "left")
     differs = F.filter(F.array(*[F.when(~at("l", f).eqNullSafe(at("r", f)), f) for f in fields]), lambda x: x.isNotNull())
     return rows.select(key, F.when(F.col("_key").isNull(), F.array(F.lit("record"))).when(F.coalesce(kind(F.col("l")), F.lit("")) != "object", F.array(F.lit("not_an_object"))).otherwise(differs).alias("violations"))
+
+
+#: The metrics of a quality payload and their ranges; near_candidate is true or false.
+METRIC_RANGES = {"near_fraction": (0.0, 1.0), "near_concentration": (0.0, 1.0), "sky_fraction": (0.0, 1.0), "depth_rgb_edge_correlation": (-1.0, 1.0)}
+QUALITY_STATUSES, QUALITY_REASONS = ("passed", "warning", "rejected"), ("near_artifact", "sky_missing")
+
+
+def revalidated_quality(payloads: DataFrame, key: str, body: str, **thresholds) -> DataFrame:
+    """(key, problems, status, reasons, stale) of cached quality payloads: only their metrics are trusted, and the decision is made anew.
+
+    Problems are `fields` (other than status, metrics and reasons, or other
+    metrics), `status`, `reasons` and the name of each metric that is no finite
+    number in its range.  A payload with problems has no decision; one whose
+    stored status or reasons differ from the new ones is stale.  thresholds go
+    to quality_decision.
+    """
+    from corvane.operators.validation import quality_decision
+
+    rows = payloads.select(key, F.try_parse_json(F.col(body)).alias("v"))
+    v = F.col("v")
+    keys = lambda path: F.sort_array(F.json_object_keys(F.to_json(F.try_variant_get(v, path, "variant"))))
+    exactly = lambda names: F.array(*map(F.lit, sorted(names)))
+    number = lambda name: F.when(kind(v, f"$.metrics.{name}").isin("integer", "number"), F.try_variant_get(v, f"$.metrics.{name}", "double"))
+    reasons = F.when(kind(v, "$.reasons") == "array", F.try_variant_get(v, "$.reasons", "array<variant>"))
+    sound = F.forall(reasons, lambda x: F.coalesce((kind(x) == "object") & _text(x, "$.code").isin(*QUALITY_REASONS) & (_text(x, "$.message") != "") & (F.size(F.json_object_keys(F.to_json(x))) == 2), F.lit(False)))
+    checks = {
+        "fields": (kind(v) == "object") & (keys("$") == exactly(("status", "metrics", "reasons"))) & (kind(v, "$.metrics") == "object") & (keys("$.metrics") == exactly((*METRIC_RANGES, "near_candidate"))),
+        "status": _text(v, "$.status").isin(*QUALITY_STATUSES),
+        "reasons": sound,
+        "near_candidate": kind(v, "$.metrics.near_candidate") == "boolean",
+    } | {name: number(name).between(*ends) & ~F.isnan(number(name)) for name, ends in METRIC_RANGES.items()}
+    problems = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), name) for name, c in checks.items()]), lambda x: x.isNotNull())
+    decision = quality_decision(number("near_fraction"), number("near_concentration"), number("depth_rgb_edge_correlation"), number("sky_fraction"), **thresholds)
+    made = rows.select(key, problems.alias("problems"), _text(v, "$.status").alias("_status"), F.transform(reasons, lambda x: _text(x, "$.code")).alias("_codes"), decision.alias("_now"))
+    good = F.size("problems") == 0
+    same = (F.col("_status") == F.col("_now.status")) & (F.sort_array("_codes") == F.sort_array("_now.reasons"))
+    return made.select(key, "problems", F.when(good, F.col("_now.status")).alias("status"), F.when(good, F.col("_now.reasons")).alias("reasons"), F.when(good, ~F.coalesce(same, F.lit(False))).alias("stale"))

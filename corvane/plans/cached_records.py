@@ -119,3 +119,21 @@ def cached_log_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = own.where("conv_id % 11 <> 3").select("entry", F.to_json(F.struct(said(other, False).alias("said"), F.when(F.col("turn") % 3 == 2, F.upper("role")).otherwise(F.col("role")).alias("role"))).alias("body"))
     found = c.log_violations(logs, kept, "entry", ("role", "said"))
     return found.groupBy("entry").agg(F.count("*").alias("n"), F.first(F.array_join("violations", ",")).alias("violations"))
+
+
+# Metrics of a part's size, price and number; some are out of range, of another type, or missing.
+_METRICS = """'{"near_fraction":' || CAST(p_size AS STRING) || 'e-3,"near_concentration":' || CASE WHEN p_size % 5 = 0 THEN '0.9' WHEN p_size = 49 THEN '1.2' ELSE '0.5' END || ',"sky_fraction":' || CASE WHEN p_size = 48 THEN '"0.5"' WHEN p_size % 3 = 0 THEN '0' ELSE '0.25' END
+|| ',"near_candidate":' || CASE WHEN p_size = 47 THEN '1' ELSE 'true' END || CASE WHEN p_size = 46 THEN '' ELSE ',"depth_rgb_edge_correlation":' || CASE WHEN p_size = 45 THEN '-2' WHEN p_size % 2 = 0 THEN '-0.5' ELSE '0.5' END END || '}'"""
+_PAYLOAD = f"""'{{"reasons":' || CASE WHEN p_partkey % 4 = 0 THEN '[{{"message":"m","code":"sky_missing"}}]' WHEN p_partkey % 41 = 0 THEN '[{{"code":"other","message":"m"}}]' ELSE '[]' END || ',"metrics":' || {_METRICS} || ',"status":"' || CASE WHEN p_partkey % 4 = 0 THEN 'rejected' WHEN p_partkey % 43 = 0 THEN 'unknown' ELSE 'passed' END || '"' || CASE WHEN p_partkey % 47 = 0 THEN ',"more":1' ELSE '' END || '}}'"""
+_NUMBER = lambda name: f"CASE WHEN json_type(b, '$.metrics.{name}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract(b, '$.metrics.{name}')::DOUBLE END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, ({_PAYLOAD})::JSON AS b FROM part), m AS (SELECT *, {_NUMBER('near_fraction')} AS nf, {_NUMBER('near_concentration')} AS nc, {_NUMBER('sky_fraction')} AS sf, {_NUMBER('depth_rgb_edge_correlation')} AS ec, json_extract_string(b, '$.reasons[*].code') AS codes FROM p),
+c AS (SELECT *, concat_ws(',', CASE WHEN len(json_keys(b)) <> 3 OR len(json_keys(b, '$.metrics')) <> 5 THEN 'fields' END, CASE WHEN json_extract_string(b, '$.status') NOT IN ('passed', 'warning', 'rejected') THEN 'status' END, CASE WHEN NOT list_has_all(['near_artifact', 'sky_missing'], codes) THEN 'reasons' END,
+ CASE WHEN json_type(b, '$.metrics.near_candidate') <> 'BOOLEAN' THEN 'near_candidate' END, CASE WHEN NOT coalesce(nf BETWEEN 0 AND 1, false) THEN 'near_fraction' END, CASE WHEN NOT coalesce(nc BETWEEN 0 AND 1, false) THEN 'near_concentration' END, CASE WHEN NOT coalesce(sf BETWEEN 0 AND 1, false) THEN 'sky_fraction' END, CASE WHEN NOT coalesce(ec BETWEEN -1 AND 1, false) THEN 'depth_rgb_edge_correlation' END) AS problems,
+ concat_ws(',', CASE WHEN nf > 0 AND nf <= 0.02 AND nc >= 0.8 AND ec < 0.1 THEN 'near_artifact' END, CASE WHEN sf < 0.01 THEN 'sky_missing' END) AS now FROM m)
+SELECT p_partkey, problems, CASE WHEN problems = '' THEN CASE WHEN now = '' THEN 'passed' ELSE 'rejected' END END AS status, CASE WHEN problems = '' THEN now END AS reasons, CASE WHEN problems = '' THEN (now = '') <> (json_extract_string(b, '$.status') = 'passed') OR now <> array_to_string(codes, ',') END AS stale FROM c""")
+def revalidated_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payloads = a.table(spark, sf_dir, "part").select("p_partkey", F.expr(_PAYLOAD).alias("body"))
+    found = c.revalidated_quality(payloads, "p_partkey", "body", most_near=0.02)
+    return found.withColumns({"problems": F.array_join("problems", ","), "reasons": F.array_join("reasons", ",")})
