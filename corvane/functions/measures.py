@@ -118,3 +118,30 @@ def back_off(attempt: Column) -> Column:
 
 def fits_context(prompt_tokens: Column, new_tokens: Column, context: int) -> Column:
     return (prompt_tokens > 0) & (new_tokens > 0) & (prompt_tokens + new_tokens <= context)
+
+
+Vector = tuple[Column, Column, Column]
+#: Below this square of its horizontal distance a point is at the camera's feet, and its direction counts as 0.
+NEAR_FOOT = 0.01
+
+
+def turned(forward: Vector, to: Vector) -> Column:
+    """Degrees to the left, within the horizontal plane (y is up), from the forward direction to a point; 0 at the camera's feet, -180 straight behind."""
+    across, along = forward[2] * to[0] - forward[0] * to[2], forward[0] * to[0] + forward[2] * to[2]
+    return F.when(to[0] * to[0] + to[2] * to[2] < NEAR_FOOT, 0.0).otherwise(-F.degrees(F.atan2(across + 0.0, along)))
+
+
+def seen(camera: Vector, forward: Vector, position: Vector, closest: Vector, active: Column, *, half_angle: float, most_distance: float, inactive: bool = False) -> Column:
+    """struct(seen, direction, distance) of an object at a position, with the point of it that is closest to the camera.
+
+    It must be active (unless inactive ones count), in front, in the sector of
+    half_angle on either side or at the camera's feet, near enough in space, and
+    its closest point in front of the image plane.  Direction and distance are
+    those of the closest point.  A null fails.
+    """
+    less = lambda p: tuple(a - b for a, b in zip(p, camera, strict=True))
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    to, near = less(position), less(closest)
+    sector = (to[0] * to[0] + to[2] * to[2] < NEAR_FOOT) | (F.abs(turned(forward, to)) <= half_angle)
+    ok = (active | F.lit(inactive)) & (dot(forward, to) > 0) & sector & (F.sqrt(dot(to, to)) <= most_distance) & (dot(forward, near) > 0)
+    return F.struct(F.coalesce(ok, F.lit(False)).alias("seen"), turned(forward, near).alias("direction"), F.sqrt(dot(near, near)).alias("distance"))

@@ -73,6 +73,24 @@ def visible_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "supplier").select("s_suppkey", F.round(turn, 6).alias("bearing"), ((z > 0) & (F.abs(turn) <= 45) & (F.sqrt(x * x + z * z) <= 8)).alias("visible"))
 
 
+# Cameras stand at suppliers and look along one of eight directions, a little downwards; lines are objects around them.
+_SEEN = """v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, 0.0::DOUBLE AS cx, 1.6::DOUBLE AS cy, 0.0::DOUBLE AS cz, (l_suppkey % 3 - 1)::DOUBLE AS fx, -0.2::DOUBLE AS fy, CASE WHEN l_suppkey % 3 = 1 AND l_suppkey % 2 = 0 THEN -1 ELSE l_suppkey % 2 END::DOUBLE AS fz, l_returnflag <> 'R' AS active,
+  (l_partkey % 21 - 10) / 2.0::DOUBLE AS px, (l_partkey % 5) / 2.0::DOUBLE AS py, (l_quantity - 25) / 4 AS pz FROM lineitem),
+w AS (SELECT *, px * 0.75 AS nx, py * 0.75 AS ny, pz * 0.75 AS nz FROM v), t AS (SELECT *, px - cx AS ax, py - cy AS ay, pz - cz AS az, nx - cx AS bx, ny - cy AS by_, nz - cz AS bz FROM w)"""
+
+
+@query(f"""WITH {_SEEN} SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, active AND fx * ax + fy * ay + fz * az > 0 AND (ax * ax + az * az < 0.01 OR abs(degrees(atan2(fx * az - fz * ax, fx * ax + fz * az))) <= 45) AND sqrt(ax * ax + ay * ay + az * az) <= 6 AND fx * bx + fy * by_ + fz * bz > 0 AS seen,
+round(CASE WHEN bx * bx + bz * bz < 0.01 THEN 0 ELSE -degrees(atan2(fz * bx - fx * bz + 0.0, fx * bx + fz * bz)) END, 6) AS direction, round(sqrt(bx * bx + by_ * by_ + bz * bz), 6) AS distance FROM t""")
+def seen_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, zero = a.table(spark, sf_dir, "lineitem"), F.lit(0.0)
+    s = F.col("l_suppkey")
+    forward = ((s % 3 - 1).cast("double"), F.lit(-0.2), F.when((s % 3 == 1) & (s % 2 == 0), -1).otherwise(s % 2).cast("double"))
+    position = ((F.col("l_partkey") % 21 - 10) / 2.0, (F.col("l_partkey") % 5) / 2.0, (F.col("l_quantity") - 25) / 4)
+    found = f.seen((zero, F.lit(1.6), zero), forward, position, tuple(p * 0.75 for p in position), F.col("l_returnflag") != "R", half_angle=45, most_distance=6)
+    own = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", found.alias("s"))
+    return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "s.seen", F.round("s.direction", 6).alias("direction"), F.round("s.distance", 6).alias("distance"))
+
+
 @query("""SELECT p_partkey, list_filter([CASE WHEN nf > 0 AND nf <= 0.05 AND nc >= 0.8 AND co < 0.1 THEN 'near_artifact' END, CASE WHEN sky < 0.01 THEN 'sky_missing' END], lambda x: x IS NOT NULL) AS reasons,
 CASE WHEN (nf > 0 AND nf <= 0.05 AND nc >= 0.8 AND co < 0.1) OR sky < 0.01 THEN 'rejected' ELSE 'passed' END AS status FROM (SELECT p_partkey, (p_partkey % 11) / 100 AS nf, (p_partkey % 6) / 5 AS nc, (p_partkey % 9) / 20 AS co, (p_size % 30) / 500 AS sky FROM part)""")
 def quality_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,3 +217,15 @@ def test_assignment_costs():
     assert assignment._best_pairs(edges) == want
     with pytest.raises(ValueError, match="ratio"):
         assignment._best_pairs([(0, 0, 0.1234567891), (0, 1, 0.5)])
+
+
+def test_seen(spark):
+    rows = [("ahead", 0.0, 0.0, 5.0, True), ("left", -4.0, 0.0, 4.5, True), ("right", 4.5, 0.0, 4.0, True), ("feet", 0.05, -1.0, 0.01, True), ("behind", 0.0, 0.0, -3.0, True), ("far", 0.0, 0.0, 11.0, True), ("off", 0.0, 0.0, 5.0, False), ("unknown", None, 0.0, 5.0, True)]
+    table = spark.createDataFrame(rows, "name string, x double, y double, z double, active boolean")
+    point = (F.col("x"), F.col("y"), F.col("z"))
+    zero = F.lit(0.0)
+    look = lambda forward, **more: {r.name: r.s for r in table.select("name", measures.seen((zero, zero, zero), forward, point, point, F.col("active"), half_angle=45, most_distance=10, **more).alias("s")).collect()}
+    level = look((zero, zero, F.lit(1.0)))
+    assert {n for n, s in level.items() if s.seen} == {"ahead", "left", "feet"}
+    assert level["left"].direction == pytest.approx(41.63, abs=0.01) and level["right"].direction == pytest.approx(-48.37, abs=0.01) and level["behind"].direction == -180 and level["feet"].direction == 0
+    assert look((zero, zero, F.lit(1.0)), inactive=True)["off"].seen and look((F.lit(1.0), zero, zero))["right"].seen
