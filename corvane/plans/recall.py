@@ -174,3 +174,34 @@ def decision_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda objects, index: m.unmatched(objects, pairs, index).groupBy("record_index", "method").agg(F.min("object_index").alias(index))
     decisions = first(gt, "gt_index").join(first(pred, "pred_index"), ["record_index", "method"])
     return m.decided_matches(gt, pred, pairs, decisions)
+
+
+_DECIDED = f"""{a.matches_sql('strict')}, free_g AS (SELECT record_index, method, min(object_index) AS gt_index FROM results WHERE NOT detected GROUP BY ALL),
+free_p AS (SELECT record_index, method, min(object_index) AS pred_index FROM pred p WHERE NOT EXISTS (FROM pairs q WHERE q.record_index = p.record_index AND q.method = p.method AND q.pred_index = p.object_index) GROUP BY ALL),
+every AS (SELECT record_index, method, gt_index, pred_index, source FROM pairs UNION ALL SELECT record_index, method, gt_index, pred_index, 'decision' FROM free_g JOIN free_p USING (record_index, method) WHERE record_index % 7 <> 0),
+one AS (SELECT g.record_index, g.method, g.object_index, g.name, g.categories, e.pred_index, e.source FROM gtm g LEFT JOIN every e ON e.record_index = g.record_index AND e.method = g.method AND e.gt_index = g.object_index),
+lg AS (SELECT record_index, method, string_agg(object_index::VARCHAR, ',' ORDER BY object_index) AS gs FROM one WHERE source IS NULL GROUP BY ALL),
+lp AS (SELECT record_index, method, string_agg(object_index::VARCHAR, ',' ORDER BY object_index) AS ps FROM pred p WHERE NOT EXISTS (FROM every e WHERE e.record_index = p.record_index AND e.method = p.method AND e.pred_index = p.object_index) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_DECIDED} SELECT 'decision_match' AS type, e.record_index, e.method, e.gt_index, concat_ws('|', g.name, e.pred_index, p.name) AS detail FROM every e JOIN gtm g ON g.record_index = e.record_index AND g.method = e.method AND g.object_index = e.gt_index JOIN pred p ON p.record_index = e.record_index AND p.method = e.method AND p.object_index = e.pred_index WHERE e.source = 'decision'
+UNION ALL SELECT 'decision_failure', record_index, method, NULL, concat_ws('|', 'no answer', gs, ps) FROM lg JOIN lp USING (record_index, method) WHERE record_index % 7 = 0
+UNION ALL SELECT 'competing_candidates', record_index, method, NULL, concat_ws('|', gs, ps) FROM lg JOIN lp USING (record_index, method)
+UNION ALL SELECT 'pit_overhead', record_index, method, object_index, concat_ws('|', name, array_to_string(categories, ','), (source IS NOT NULL)::VARCHAR, coalesce(source, 'unresolved')) FROM one WHERE list_has_any(categories, ['PIT', 'OVERHEAD'])
+UNION ALL SELECT 'rule_match_sample', record_index, method, NULL, string_agg(gt_index || '-' || pred_index || '-' || source, ',' ORDER BY gt_index, pred_index) FROM every WHERE source <> 'decision' GROUP BY ALL
+UNION ALL SELECT 'detection_disagreement', record_index, NULL, object_index, concat_ws('|', any_value(name), max(CASE WHEN method = 'ours' THEN pred_index END), max(CASE WHEN method = 'fewshot' THEN pred_index END)) FROM one GROUP BY record_index, object_index HAVING count(CASE WHEN method = 'ours' THEN source END) <> count(CASE WHEN method = 'fewshot' THEN source END)""")
+def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.operators.review import review_items as items
+
+    gt, pred = sides(spark, sf_dir)
+    pairs = m.rule_matches(gt, pred)
+    first = lambda objects, index: m.unmatched(objects, pairs, index).groupBy("record_index", "method").agg(F.min("object_index").alias(index))
+    asked = first(gt, "gt_index").join(first(pred, "pred_index"), ["record_index", "method"])
+    unanswered = F.col("record_index") % 7 == 0
+    decisions = asked.select("record_index", "method", F.when(unanswered, "unresolved").otherwise("ok").alias("status"), F.when(unanswered, "no answer").alias("error"))
+    every = pairs.unionByName(asked.where(~unanswered).select("record_index", "method", "gt_index", "pred_index", F.lit("decision").alias("source")))
+    found = items(gt, pred, every, decisions, a.METHODS)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    rules = F.array_join(F.transform("rule_matches", lambda x: F.concat_ws("-", x["gt_index"].cast("string"), x["pred_index"].cast("string"), x["source"])), ",")
+    details = [F.col("error"), F.col("gt_name"), F.col("pred_index").cast("string"), F.col("pred_name"), text("categories"), F.col("detected").cast("string"), F.col("match_source"), F.col("first_pred_index").cast("string"), F.col("second_pred_index").cast("string"), text("unresolved_gt"), text("unresolved_pred"), rules]
+    return found.select("type", "record_index", "method", "gt_index", F.concat_ws("|", *details).alias("detail"))
