@@ -145,3 +145,13 @@ def seen(camera: Vector, forward: Vector, position: Vector, closest: Vector, act
     sector = (to[0] * to[0] + to[2] * to[2] < NEAR_FOOT) | (F.abs(turned(forward, to)) <= half_angle)
     ok = (active | F.lit(inactive)) & (dot(forward, to) > 0) & sector & (F.sqrt(dot(to, to)) <= most_distance) & (dot(forward, near) > 0)
     return F.struct(F.coalesce(ok, F.lit(False)).alias("seen"), turned(forward, near).alias("direction"), F.sqrt(dot(near, near)).alias("distance"))
+
+
+# What red, green and blue add to brightness.
+BRIGHTNESS = (0.299, 0.587, 0.114)
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    """The brightness of an image from the flat arrays of its channels."""
+    mixed = F.zip_with(red, green, lambda r, g: BRIGHTNESS[0] * r + BRIGHTNESS[1] * g)
+    return F.zip_with(mixed, blue, lambda x, b: x + BRIGHTNESS[2] * b)

@@ -112,9 +112,29 @@ def near_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rasters(spark, sf_dir).select("vec_id", near_regions_udf(200)("depth", F.lit(8)).alias("n")).select("vec_id", "n.fraction", "n.concentration")
 
 
-@query()
+# Gradients of 8 x 8 rasters cell by cell; the borders repeat their own cells.
+_AT = lambda c, dy, dx: f"{c}[8 * least(greatest(k // 8 + {dy}, 0), 7) + least(greatest(k % 8 + {dx}, 0), 7) + 1]"
+_SIDE = lambda c, dy, dx: f"({_AT(c, dy or -1, dx or -1)} + 2 * {_AT(c, dy, dx)} + {_AT(c, dy or 1, dx or 1)})"
+_EDGE = lambda c: f"sqrt(pow({_SIDE(c, 0, 1)} - {_SIDE(c, 0, -1)}, 2) + pow({_SIDE(c, 1, 0)} - {_SIDE(c, -1, 0)}, 2))"
+_RASTERS_SQL = "e AS (SELECT vec_id, embedding AS v, list_min(embedding) AS low, list_max(embedding) AS high FROM embeddings WHERE len(embedding) = 64), r AS (SELECT vec_id, list_transform(v, lambda x: round_even(((x - low) * 255)::DOUBLE / CASE WHEN high > low THEN (high - low)::DOUBLE ELSE 1 END, 0)) AS depth FROM e)"
+
+
+def _correlation_sql(first: str, second: str) -> str:
+    return f"""WITH {_RASTERS_SQL}, b AS (SELECT vec_id, {first} AS a, {second} AS b FROM r), k AS (SELECT vec_id, a, b, unnest(range(64)) AS k FROM b), g AS (SELECT vec_id, {_EDGE('a')} AS x, {_EDGE('b')} AS y FROM k)
+SELECT vec_id, round(CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN greatest(-1, least(1, corr(x, y))) ELSE 1 END, 6) AS correlation FROM g GROUP BY vec_id"""
+
+
+@query(_correlation_sql("depth", "list_reverse(depth)"))
 def edge_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rasters(spark, sf_dir).select("vec_id", edge_correlation_udf()("depth", "mirror", F.lit(8)).alias("correlation"))
+    return _rasters(spark, sf_dir).select("vec_id", F.round(edge_correlation_udf()("depth", "mirror", F.lit(8)), 6).alias("correlation"))
+
+
+@query(_correlation_sql("list_transform(range(64), lambda i: 0.299 * depth[64 - i] + 0.587 * (255 - depth[i + 1]) + 0.114 * depth[i % 8 * 8 + i // 8 + 1])", "depth"))
+def colour_edge_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a colour image and its depth; the channels are the mirrored, the inverted and the turned depth."""
+    depth = F.col("depth")
+    red, green, blue = F.reverse(depth), F.transform(depth, lambda v: 255 - v), F.transform(depth, lambda _, i: F.get(depth, i % 8 * 8 + F.floor(i / 8).cast("int")))
+    return _rasters(spark, sf_dir).select("vec_id", F.round(edge_correlation_udf()(f.luminance(red, green, blue), depth.cast("array<double>"), F.lit(8)), 6).alias("correlation"))
 
 
 @query()
