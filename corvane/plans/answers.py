@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
+from corvane.operators import annotations as work
 from corvane.operators import matching as m
 from corvane.operators.validation import quality_decision
 from corvane.plans import adapters as a
@@ -57,20 +58,20 @@ def redacted_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS finished FROM events), n AS (SELECT user_id, event_id, min(CASE WHEN NOT finished THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, min(CASE WHEN NOT finished THEN event_id END) OVER (PARTITION BY user_id) AS first FROM s)
 SELECT user_id, event_id, coalesce(later, first) AS next_open FROM n""")
 def next_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = a.table(spark, sf_dir, "events").select("user_id", "event_id", F.when(~F.col("event_type").isin("error", "view"), F.col("event_id")).alias("open"))
-    after = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
-    return own.select("user_id", "event_id", F.coalesce(F.min("open").over(after), F.min("open").over(Window.partitionBy("user_id"))).alias("next_open"))
+    found = work.next_open(a.table(spark, sf_dir, "events"), "user_id", "event_id", ~F.col("event_type").isin("error", "view"))
+    return found.select("user_id", "event_id", "next_open")
 
 
 @query("SELECT c_mktsegment AS dataset, count(*) AS n, count_if(c_acctbal > 5000) AS completed, count_if(c_acctbal BETWEEN 0 AND 5000) AS draft, count_if(c_acctbal < 0) AS unstarted, count_if(c_acctbal > 5000 AND c_custkey % 3 <> 0) AS role_pending FROM customer GROUP BY 1")
 def annotation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("c_acctbal")
-    return a.table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("n"), F.count_if(b > 5000).alias("completed"), F.count_if((b >= 0) & (b <= 5000)).alias("draft"), F.count_if(b < 0).alias("unstarted"), F.count_if((b > 5000) & (F.col("c_custkey") % 3 != 0)).alias("role_pending"))
+    status = F.when(b > 5000, "completed").when(b >= 0, "draft")
+    return work.progress(a.table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "dataset"), ["dataset"], status, F.col("c_custkey") % 3 == 0)
 
 
 @query("SELECT lower(p_name) AS folded, min(p_name) AS name, count(*) AS n FROM part GROUP BY 1")
 def name_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("folded")).agg(F.min("p_name").alias("name"), F.count("*").alias("n")).orderBy("folded")
+    return work.folded_names(a.table(spark, sf_dir, "part"), "p_name").orderBy("folded")
 
 
 @query("""WITH o AS (SELECT l_suppkey % 3 AS method, CASE WHEN l_linenumber % 4 = 0 THEN 'exact' WHEN l_linenumber % 4 = 1 THEN 'adjacent' WHEN l_linenumber % 4 = 2 THEN 'mirror' ELSE 'mismatch' END AS outcome FROM lineitem)

@@ -9,6 +9,7 @@ from corvane.functions.measures import f1, post_hoc_distance_bin, prompt_distanc
 from corvane.operators import assignment as s
 from corvane.operators import matching as m
 from corvane.operators import metrics as k
+from corvane.operators.annotations import win_counts
 from corvane.plans import adapters as a
 from corvane.plans.confusion import EVENTS_SQL
 from corvane.plans.recall import sides
@@ -207,4 +208,4 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT user_id, CASE WHEN event_type = 'error' THEN '3' WHEN event_id % 2 = 0 THEN '1' ELSE '2' END AS v FROM events) SELECT user_id, count_if(v = '1') AS first, count_if(v = '2') AS second, count_if(v NOT IN ('1', '2')) AS invalid FROM w GROUP BY 1""")
 def ablation_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("event_type") == "error", "3").when(F.col("event_id") % 2 == 0, "1").otherwise("2")
-    return a.table(spark, sf_dir, "events").select("user_id", v.alias("v")).groupBy("user_id").agg(F.count_if(F.col("v") == "1").alias("first"), F.count_if(F.col("v") == "2").alias("second"), F.count_if(~F.col("v").isin("1", "2")).alias("invalid"))
+    return win_counts(a.table(spark, sf_dir, "events").select("user_id", v.alias("v")), ["user_id"], "v")
