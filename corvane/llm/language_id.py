@@ -13,8 +13,9 @@ have.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.textkit import batches_of
 
-#: N-grams of 1 to GRAM characters are hashed into 2**BITS features.
+#: N-grams of 1 to GRAM characters are hashed into 2**BITS features, of which a smallint holds the number.
 GRAM = 3
 BITS = 15
 #: The classifier is fitted on so many distinct labelled texts of each language, at most; everything counted of the corpus covers all its documents.
@@ -94,7 +95,34 @@ class Model:
         return self.languages[best], float(p[best] / p.sum()), bool(known)
 
 
-def follow_the_leader(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> None:
+class Examples(Sequence):
+    """(class, features, values) of rows of a table, in the order given.
+
+    The features and their counts stay in the Arrow buffers that they came in,
+    and the values are worked out whenever an example is asked for, so that the
+    driver holds one copy of them and nothing made from it.
+    """
+
+    def __init__(self, model: Model, rows: pa.Table, order: np.ndarray):
+        self.model, self.order = model, order
+        number = {name: i for i, name in enumerate(model.languages)}
+        self.labels = [number[name] for name in rows["lang"].to_pylist()]
+        self.parts = [tuple(batch[c].flatten().to_numpy() for c in ("which", "counts")) for batch in rows.to_batches()]
+        lengths = [pa.compute.list_value_length(batch["which"]).to_numpy() for batch in rows.to_batches()]
+        self.part = np.repeat(np.arange(len(lengths)), [len(x) for x in lengths])
+        self.stops = np.concatenate([np.zeros(0, np.int64), *map(np.cumsum, lengths)])
+        self.starts = self.stops - np.concatenate([np.zeros(0, np.int64), *lengths])
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, at: int) -> tuple[int, np.ndarray, np.ndarray]:
+        row = self.order[at]
+        which, counts = (x[self.starts[row] : self.stops[row]] for x in self.parts[self.part[row]])
+        return self.labels[row], which, self.model.vector(which, counts)
+
+
+def follow_the_leader(model: Model, examples: Sequence[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> None:
     """Fits the weights: FTRL-proximal over (class, features, values) examples."""
     shape = model.weights.shape
     z, n = np.zeros(shape), np.zeros(shape)
@@ -115,28 +143,27 @@ def follow_the_leader(model: Model, examples: list[tuple[int, np.ndarray, np.nda
     model.weights = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def snippets(examples: list[tuple[int, np.ndarray, np.ndarray]], heads: list[str], model: Model) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def snippets(examples: Iterable[tuple[int, np.ndarray, np.ndarray]], heads: list[str], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Examples from the first characters of held-out texts, cut to each of SIZES, with a letter."""
-    out, letter = [], _letter()
+    letter = _letter()
     for (label, _, _), head in zip(examples, heads, strict=True):
         for size in SIZES:
             if size < len(head) and letter.search(head[:size]):
                 which, counts = features(head[:size])
-                out.append((label, which, model.vector(which, counts)))
-    return out
+                yield label, which, model.vector(which, counts)
 
 
-def calibrate(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+def calibrate(model: Model, examples: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> None:
     """Sets the temperature that gives held-out examples the least log loss.
 
     Whole texts alone are told apart without a fault, so that any low
     temperature would fit; short ones, of which some are wrong, make it
     meaningful.  It is never below LEAST_TEMPERATURE.
     """
-    if not examples:
+    found = [(label, model.logits(which, values)) for label, which, values in examples]
+    if not found:
         return
-    scores = np.array([model.logits(which, values) for _, which, values in examples])
-    labels = np.array([label for label, _, _ in examples])
+    labels, scores = np.array([label for label, _ in found]), np.array([score for _, score in found])
 
     def loss(log_t: float) -> float:
         z = scores / math.exp(log_t)
@@ -150,7 +177,7 @@ def calibrate(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]])
     model.temperature = math.exp((low + high) / 2)
 
 
-def set_limits(model: Model, examples: list[tuple[int, np.ndarray, np.ndarray]], heads: list[str]) -> None:
+def set_limits(model: Model, examples: Iterable[tuple[int, np.ndarray, np.ndarray]], heads: list[str]) -> None:
     """Sets the least margins from held-out examples and the first characters of their texts, cut to each of SIZES too."""
     found: list[list[float]] = [[] for _ in model.limits]
     for (label, which, values), head in zip(examples, heads, strict=True):
@@ -199,7 +226,7 @@ def _least_hashes(most: int):
 def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(text or "") for text in batch.column(1).to_pylist()]
-        lists = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
+        lists = [pa.array([x[i].astype(kind) for x in found], pa.list_(pa.from_numpy_dtype(kind))) for i, kind in enumerate((np.int16, np.int32))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2), batch.column(3)], names=["lang", "which", "counts", "h", "head"])
 
 
@@ -220,6 +247,17 @@ def fit_sample(rows: DataFrame, most: int) -> tuple[list[str], DataFrame]:
     return sorted(limits), chosen.select("lang", "text", "h")
 
 
+def learn(model: Model, rows: pa.Table) -> None:
+    """Fits the model on rows (lang, which, counts, h, head): the weights on four fifths by h, the rest on the others."""
+    order = pa.compute.sort_indices(rows.select(["h", "lang"]), [("h", "ascending"), ("lang", "ascending")]).to_numpy()
+    held = rows["h"].to_numpy()[order] % 5 == 0
+    fitted, others = Examples(model, rows, order[~held]), Examples(model, rows, order[held])
+    follow_the_leader(model, fitted or others)
+    heads = rows["head"].take(pa.array(order[held])).to_pylist()
+    calibrate(model, chain(others, snippets(others, heads, model)))
+    set_limits(model, others, heads)
+
+
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_documents: int = FIT_DOCUMENTS) -> Model:
     """A model learned from the rows of labelled that have a lang.
 
@@ -229,29 +267,17 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", fit_docu
     """
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang")).where("lang is not null")
     languages, chosen = fit_sample(rows, fit_documents)
-    counted = batches_of(rows.select("text"), _document_counts, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    documents = max([1, *(r.n for r in counted if r.feature == -1)])
+    counted = batches_of(rows.select("text"), _document_counts, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = (counted[c].to_numpy() for c in ("feature", "n"))
+    documents = max([1, *n[feature == -1].tolist()])
     df = np.zeros(1 << BITS)
-    for r in counted:
-        if r.feature >= 0:
-            df[r.feature] = r.n
+    df[feature[feature >= 0]] = n[feature >= 0]
     model = Model(languages, np.log((1 + documents) / (1 + df)) + 1, np.zeros(((1 << BITS) + 1, len(languages))))
     if not languages:
         return model
     head = F.when(F.col("h") % 5 == 0, F.left("text", F.lit(SIZES[-1] + 1)))
-    examples = batches_of(chosen.select("lang", "text", "h", head.alias("head")), _example_rows, "lang string, which array<int>, counts array<int>, h bigint, head string").toArrow()
-    number = {name: i for i, name in enumerate(languages)}
-    ready: tuple[list, list] = ([], [])
-    examples = examples.take(pa.compute.sort_indices(examples, [("h", "ascending"), ("lang", "ascending")])).combine_chunks()
-    flat = [examples[c].combine_chunks().flatten().to_numpy() for c in ("which", "counts")]
-    ends = np.cumsum(np.append(0, pa.compute.list_value_length(examples["which"]).to_numpy()))
-    for i, (name, at) in enumerate(zip(examples["lang"].to_pylist(), examples["h"].to_pylist(), strict=True)):
-        which, counts = (x[ends[i] : ends[i + 1]] for x in flat)
-        ready[at % 5 == 0].append((number[name], which, model.vector(which, counts)))
-    follow_the_leader(model, ready[0] or ready[1])
-    heads = [x for x in examples["head"].to_pylist() if x is not None]
-    calibrate(model, ready[1] + snippets(ready[1], heads, model))
-    set_limits(model, ready[1], heads)
+    learn(model, batches_of(chosen.select("lang", "text", "h", head.alias("head")), _example_rows, "lang string, which array<smallint>, counts array<int>, h bigint, head string").toArrow())
+    pa.default_memory_pool().release_unused()
     return model
 
 
