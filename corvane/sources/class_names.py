@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
@@ -21,12 +21,22 @@ def _pairs(lines: Column, number: bool) -> Column:
     return F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("class_id"), _unquoted(F.regexp_replace(x, r"^\s*-\s+", "")).alias("name")))
 
 
+def _cut(text: Column) -> Column:
+    """The parts of a list between its commas, but for those in quotes; white space alone between commas is none.
+
+    A comma is in quotes if what follows it has an open quote, so the text is
+    read from its end.  Possessive groups keep the time linear and the stack flat.
+    """
+    parts = F.regexp_extract_all(F.reverse(text), F.lit(r"""(?s)(?:[^'",]|'[^']*+'|"[^"]*+"|['"].*+)++"""), F.lit(0))
+    return F.filter(F.reverse(F.transform(parts, F.reverse)), lambda x: F.trim(x) != "")
+
+
 def yaml_names(text: Column) -> Column:
     """array of (class_id, name) under `names`: a list or map in brackets or on lines of its own; null where there is none."""
     text = F.regexp_replace(text, "\r\n?", "\n")
     inline = F.regexp_extract(text, r"(?m)^names\s*:\s*([\[{][^\]}]*)[\]}]", 1)
-    body = F.filter(F.split(F.regexp_extract(text, r"(?m)^names\s*:[ \t]*(?:#.*)?\n((?:(?:[ \t]+\S.*|-\s.*|[ \t]*|#.*)(?:\n|\z))+)", 1), "\n"), lambda x: ~x.rlike(r"^\s*(#.*)?$"))
-    items = F.filter(F.split(F.substring(inline, 2, 1 << 30), r""",(?=(?:[^'"]|'[^']*'|"[^"]*")*$)"""), lambda x: F.trim(x) != "")
+    body = F.filter(F.split(F.regexp_extract(text, r"(?m)^names\s*:[ \t]*(?:#.*)?\n((?:(?:[ \t]+\S.*|-\s.*|[ \t]*|#.*)(?:\n|\z))++)", 1), "\n"), lambda x: ~x.rlike(r"^\s*(#.*)?$"))
+    items = _cut(F.substring(inline, 2, 1 << 30))
     return (
         F.when(inline.startswith("{"), _pairs(items, True)).when(inline.startswith("["), _pairs(items, False))
         .when((F.size(body) > 0) & F.forall(body, lambda x: x.rlike(r"^\s*-\s")), _pairs(body, False)).when((F.size(body) > 0) & F.forall(body, lambda x: x.rlike(r"^\s*\d+\s*:")), _pairs(body, True))
@@ -54,11 +64,12 @@ def class_lists(files: DataFrame, key: str) -> DataFrame:
     named = F.when(F.col("file").endswith("dataset.yaml"), yaml_names(F.col("text"))).otherwise(plain_names(F.col("text")))
     read = files.select(key, F.when(F.col("file").endswith("dataset.yaml"), 0).otherwise(1).alias("rank"), named.alias("names")).withColumn("none", F.coalesce(F.size("names"), F.lit(0)) <= 0)
     best = read.groupBy(key).agg(F.min_by("names", F.struct("none", "rank")).alias("names"), F.min("none").alias("none"))
-    names = F.col("names")
-    twice = lambda field: F.filter(names, lambda x: F.size(F.filter(names, lambda y: y[field] == x[field])) > 1)
-    marked = F.transform(names, lambda x: F.struct(x["class_id"].alias("class_id"), x["name"].alias("name"), F.when(x["name"] == "", "blank").when(F.array_contains(twice("name"), x) | F.array_contains(twice("class_id"), x), "repeated").alias("problem")))
-    none = F.array(F.struct(F.lit(None).cast("int").alias("class_id"), F.lit(None).cast("string").alias("name"), F.lit("none").alias("problem")))
-    return best.select(key, F.inline(F.when(F.col("none"), none).otherwise(marked)))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("class_id"), F.lit(None).cast("string").alias("name")))
+    names = best.select(key, "none", F.inline(F.when(F.col("none"), none).otherwise(F.col("names"))))
+    # A set may have many names: they are counted by name and by number, not held against each other.
+    twice = lambda field: F.count(field).over(Window.partitionBy(key, field)) > 1
+    problem = F.when(F.col("none"), "none").when(F.col("name") == "", "blank").when(twice("name") | twice("class_id"), "repeated")
+    return names.select(key, "class_id", "name", problem.alias("problem"))
 
 
 def read_class_lists(spark: SparkSession, folder: str) -> DataFrame:

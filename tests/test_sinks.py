@@ -104,6 +104,18 @@ def test_class_lists(spark, tmp_path):
     assert [[tuple(x) for x in r.s] for r in splits] == [[("val", "images/val")], [("train", "a/b"), ("test", "c d")]]
 
 
+def test_class_lists_of_many_names(spark):
+    names = [f"part, {i}" for i in range(20_000)] + ["twice", "twice", ""]
+    lines = "\n".join(f"  - '{n}'" for n in names)
+    texts = {"list": "names: [" + ", ".join(f"'{n}'" for n in names) + "]\n", "block": f"names:\n{lines}\nnc: 5\n", "map": "names: {" + ", ".join(f'{i}: "{n}"' for i, n in enumerate(names)) + "}\n"}
+    files = spark.createDataFrame([(k, "dataset.yaml", t) for k, t in texts.items()], "k string, file string, text string")
+    got = {}
+    for r in c.class_lists(files, "k").collect():
+        got.setdefault(r.k, []).append((r.class_id, r.name, r.problem))
+    want = [(i, n, {"twice": "repeated", "": "blank"}.get(n)) for i, n in enumerate(names)]
+    assert set(got) == set(texts) and all(sorted(own) == sorted(want, key=lambda x: x[0]) for own in got.values())
+
+
 def test_assembled(spark):
     a = spark.createDataFrame([(1, "x", 1.0), (2, None, 2.0), (2, None, 2.0), (None, None, 5.0)], "k int, g string, u double")
     b = spark.createDataFrame([(1, "x", "t"), (3, "y", "w")], "k int, g string, t string")
