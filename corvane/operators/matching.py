@@ -81,18 +81,20 @@ def unmatched(objects: DataFrame, pairs: DataFrame, index: str) -> DataFrame:
     return objects.join(taken, ["record_index", "method", "object_index"], "left_anti")
 
 
-def _tiered(objects: DataFrame, profile: str, carried: list[str]) -> DataFrame:
+def tiered(objects: DataFrame, profile: str, carried: list[str], *, dealt: bool = False) -> DataFrame:
     """Objects of both sides with _source, and _pair: what the matched object of the other side carries.
 
     objects has record_index, method, _pred (false for reference objects),
     object_index, name and the columns to carry.  They are dealt out once by
-    record and method, and windows within that rank them by name, then those
-    left over by star.  An object is matched if the other side has as many of
-    its kind as its rank; rows of equal kind and rank are a pair.
+    record and method, unless they are dealt out by record, and windows within
+    that rank them by name, then those left over by star.  An object is matched
+    if the other side has as many of its kind as its rank; rows of equal kind
+    and rank are a pair.
     """
     key = ["record_index", "method"]
     stars_ = F.broadcast(star_dimension(objects.sparkSession, profile).withColumnRenamed("name", "_norm"))
-    placed = objects.withColumn("_norm", cautious_name(F.col("name"))).repartition(*key).join(stars_, "_norm", "left").withColumn("_centre", F.col("_pred") != F.col("central"))
+    named = objects.withColumn("_norm", cautious_name(F.col("name")))
+    placed = (named if dealt else named.repartition(*key)).join(stars_, "_norm", "left").withColumn("_centre", F.col("_pred") != F.col("central"))
 
     def ranked(frame: DataFrame, kind: list[str], rank: str) -> DataFrame:
         """Adds a rank among a side's objects of one kind, null where the other side has fewer."""
@@ -116,7 +118,7 @@ def matched_results(gt: DataFrame, pred: DataFrame, profile: str = "strict") ->
     """A row for each reference object: its columns, pred_index, pred_name and source of its match, and detected."""
     part = lambda frame, is_pred, *more: frame.select("record_index", "method", F.lit(is_pred).alias("_pred"), "object_index", "name", *more)
     both = part(gt, False, F.struct(*gt.columns).alias("_gt")).unionByName(part(pred, True), allowMissingColumns=True)
-    found = _tiered(both, profile, ["name"]).where(~F.col("_pred"))
+    found = tiered(both, profile, ["name"]).where(~F.col("_pred"))
     return found.select("_gt.*", F.col("_pair.object_index").alias("pred_index"), F.col("_pair.name").alias("pred_name"), F.when(F.col("_pair").isNotNull(), F.col("_source")).alias("source"), F.col("_pair").isNotNull().alias("detected"))
 
 
@@ -128,7 +130,7 @@ def matched_events(gt: DataFrame, pred: DataFrame, records: DataFrame, profile:
     """
     part = lambda frame, is_pred: frame.select("record_index", "method", F.lit(is_pred).alias("_pred"), "object_index", "name", "categories")
     both = part(gt, False).unionByName(part(pred, True)).unionByName(records.select("record_index", "method"), allowMissingColumns=True)
-    found = _tiered(both, profile, ["categories"])
+    found = tiered(both, profile, ["categories"])
     held = F.count("_pred").over(Window.partitionBy("record_index", "method"))
     safe = F.array(F.lit("SAFE"))
     matched = F.col("_pair").isNotNull()
@@ -141,7 +143,7 @@ def matched_events(gt: DataFrame, pred: DataFrame, records: DataFrame, profile:
 def matched_sides(gt: DataFrame, pred: DataFrame, columns: list[str], profile: str = "strict") -> DataFrame:
     """(record_index, method, kind, g, p): matched pairs, unmatched_gt and unmatched_pred objects, with some columns of either side."""
     part = lambda frame, is_pred: frame.select("record_index", "method", F.lit(is_pred).alias("_pred"), "object_index", "name", *columns)
-    found = _tiered(part(gt, False).unionByName(part(pred, True)), profile, columns).where(~F.col("_pred") | F.col("_pair").isNull())
+    found = tiered(part(gt, False).unionByName(part(pred, True)), profile, columns).where(~F.col("_pred") | F.col("_pair").isNull())
     kind = F.when(F.col("_pred"), "unmatched_pred").when(F.col("_pair").isNull(), "unmatched_gt").otherwise("matched")
     own, other = F.struct(*columns), F.when(F.col("_pair").isNotNull(), F.struct(*[F.col(f"_pair.{c}").alias(c) for c in columns]))
     return found.select("record_index", "method", kind.alias("kind"), F.when(~F.col("_pred"), own).alias("g"), F.when(F.col("_pred"), own).otherwise(other).alias("p"))

@@ -22,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
+    line = line.repartition("l_orderkey") if dealt else line
     flag = F.col("l_returnflag")
     label = lambda place: reduce(lambda out, item: F.when(flag == item[0], item[1][place]).otherwise(out), FLAGS.items(), F.lit(None))
     steps = (F.col("l_quantity").cast("int") % 15).cast("int")
@@ -68,6 +69,14 @@ def pred_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(_lines(spark, sf_dir).where("l_linestatus = 'O'"), "record_index", "method")
 
 
+def both_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference objects, once for each method, and predictions (_pred), dealt out once by record_index."""
+    rows, pred = _lines(spark, sf_dir, dealt=True).where("l_linestatus in ('F', 'O')"), F.col("l_linestatus") == "O"
+    place = F.row_number().over(Window.partitionBy("record_index", pred, F.when(pred, F.col("method"))).orderBy(*_ORDER)) - 1
+    numbered = rows.select("record_index", "method", pred.alias("_pred"), place.cast("int").alias("object_index"), "name", "categories")
+    return numbered.withColumn("method", F.explode(F.when(F.col("_pred"), F.array("method")).otherwise(F.array(*map(F.lit, METHODS)))))
+
+
 def image_of(key: Column) -> Column:
     return F.concat(F.lit("img_"), (key % IMAGES).cast("string"), F.lit(".png"))
 

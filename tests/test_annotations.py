@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import annotations as o
 from corvane.operators.review import review_items
+from corvane.plans.catalogue import QUERIES
 
 
 def test_work_lists(spark):
@@ -53,3 +54,8 @@ def test_review_queue(spark):
     assert [[tuple(x) for x in r.rule_matches] for r in of("rule_match_sample")] == [[(0, 0, "exact")]]
     assert sorted((r.gt_index, r.first_detected, r.first_pred_index, r.second_detected) for r in of("detection_disagreement")) == [(0, True, 0, False), (1, True, 1, False)]
     assert len(rows) == 8
+
+
+def test_review_items_read_the_lines_once(spark, small):
+    plan = QUERIES["review_items"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
