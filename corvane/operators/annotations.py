@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import json_block
-from corvane.operators.cached_records import kind
 
 
 def filtered(rows: DataFrame, status: str | None = None, role_status: str | None = None, *, columns: tuple[str, str] = ("status", "role_status")) -> DataFrame:
@@ -59,17 +58,29 @@ def pair_list(text: Column, *, tolerant: bool = False) -> Column:
     0.  A tolerant reader takes the text from the first { to the last }, and
     leaves out items that are wrong or use an index again.
     """
-    v = F.try_parse_json(json_block(text) if tolerant else text)
-    items = F.when(kind(v, "$.pairs") == "array", F.try_variant_get(v, "$.pairs", "array<variant>"))
-    number = lambda o, f: F.when(kind(o, f"$.{f}") == "integer", F.try_variant_get(o, f"$.{f}", "int"))
-    read = F.transform(items, lambda o: F.struct(number(o, "gt_index").alias("gt_index"), number(o, "pred_index").alias("pred_index"), F.coalesce((kind(o) == "object") & (F.size(F.json_object_keys(F.to_json(o))) == 2), F.lit(False)).alias("exact")))
+    # Each step is bound to a name of a lambda function, so that it is evaluated once and not wherever it is used.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    number = lambda v: F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "int"))
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
     good = lambda p: F.coalesce((p["gt_index"] >= 0) & (p["pred_index"] >= 0), F.lit(False))
     bare = lambda p: F.struct(p["gt_index"].alias("gt_index"), p["pred_index"].alias("pred_index"))
-    if tolerant:
-        kept = F.filter(read, good)
-        # The first of items that share an index stays, in the order of the answer.
+
+    def read(item: Column) -> Column:
+        """An item's two numbers, null where they aren't whole, and whether it has no other field."""
+        return F.struct(*[number(F.try_element_at(item, F.lit(n))).alias(n) for n in ("gt_index", "pred_index")], F.coalesce(F.size(item) == 2, F.lit(False)).alias("exact"))
+
+    def first_ones(pairs: Column) -> Column:
+        """The first of pairs that share an index, in the order of the answer."""
         step = lambda out, p: F.when(F.exists(out, lambda q: (q["gt_index"] == p["gt_index"]) | (q["pred_index"] == p["pred_index"])), out).otherwise(F.concat(out, F.array(bare(p))))
-        return F.aggregate(kept, F.array().cast("array<struct<gt_index:int,pred_index:int>>"), step)
-    once = lambda f: F.size(F.array_distinct(F.transform(read, lambda p: p[f]))) == F.size(read)
-    whole = (F.json_object_keys(F.to_json(v)) == F.array(F.lit("pairs"))) & F.forall(read, lambda p: p["exact"] & good(p)) & once("gt_index") & once("pred_index")
-    return F.when(F.coalesce(whole, F.lit(False)), F.transform(read, bare))
+        return F.aggregate(F.filter(pairs, good), F.array().cast("array<struct<gt_index:int,pred_index:int>>"), step)
+
+    def whole(pairs: Column) -> Column:
+        single = lambda f: F.size(F.array_distinct(F.transform(pairs, lambda p: p[f]))) == F.size(pairs)
+        sound = F.forall(pairs, lambda p: p["exact"] & good(p)) & single("gt_index") & single("pred_index")
+        return F.when(F.coalesce(sound, F.lit(False)), F.transform(pairs, bare))
+
+    def answer(found: Column) -> Column:
+        items = F.transform(F.try_variant_get(F.try_element_at(found, F.lit("pairs")), "$", "array<variant>"), lambda o: once(fields(o), read))
+        return first_ones(items) if tolerant else F.when(F.size(found) == 1, once(items, whole))
+
+    return once(fields(F.try_parse_json(json_block(text) if tolerant else text)), answer)

@@ -42,5 +42,5 @@ def pair_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = a.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct(*order, F.expr(_PAIR).alias("item")))).alias("items"))
     body = F.concat(F.lit('{"pairs": ['), F.array_join(F.transform("items", lambda x: x["item"]), ", "), F.lit("]}"))
     text = F.when(F.col("k") % 4 == 1, F.concat(F.lit("Here: "), body, F.lit(" done."))).otherwise(body)
-    shown = lambda c: F.when(c.isNotNull(), F.array_join(F.transform(c, lambda p: F.concat_ws("-", p["gt_index"].cast("string"), p["pred_index"].cast("string"))), ","))
+    shown = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws("-", p["gt_index"].cast("string"), p["pred_index"].cast("string"))), ",")
     return own.select("k", text.alias("text")).select("k", shown(o.pair_list(F.col("text"))).alias("strict"), shown(o.pair_list(F.col("text"), tolerant=True)).alias("tolerant"))

@@ -39,6 +39,18 @@ def test_pair_list(spark, text, strict, tolerant):
     assert (plain(row.s), plain(row.t)) == (strict, tolerant)
 
 
+def test_pair_lists_parse_each_answer_once(spark, small):
+    plan = QUERIES["pair_lists"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 2  # strictly and tolerantly
+
+
+def test_pair_list_of_odd_items(spark):
+    pair = '{"gt_index":0,"pred_index":1}'
+    items = ['{"gt_index":1,"pred_index":1e0}', '{"gt_index":99999999999,"pred_index":3}', '{"gt_index":2}', '{"gt_index":2,"pred_index":4,"why":"x"}', "[1,2]", '"x"', "{}", '{"gt_index":null,"pred_index":6}']
+    rows = spark.createDataFrame([(f'{{"pairs":[{pair},{i}]}}',) for i in items], "t string").select(o.pair_list(F.col("t")).alias("s"), o.pair_list(F.col("t"), tolerant=True).alias("t")).collect()
+    assert all(r.s is None for r in rows) and [[tuple(p) for p in r.t][1:] for r in rows] == [[], [], [], [(2, 4)], [], [], [], []]
+
+
 def test_review_queue(spark):
     objects = "record_index int, method string, object_index int, name string, categories array<string>"
     gt = spark.createDataFrame([(1, m, i, n, c) for m in ("a", "b") for i, n, c in ((0, "car", ["GROUND"]), (1, "hole", ["PIT"]))] + [(2, "a", 0, "bin", None)], objects)
